@@ -189,13 +189,13 @@ def _unite(found: list[DataFrame]) -> DataFrame:
     for more in found[1:]:
         every = every.unionByName(more)
 
-    def run(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
+    def run(key, table):
+        rows = table.to_pylist()
         first, copies = rows[0], len(rows) // len(found)
         ids = sorted({x for r in rows for x in r["items"]}, key=str)
         spans = united(sorted({(s["begin"], s["end"]) for r in rows for s in r["spans"]}))
         hit = sum(e - b for b, e in spans)
         one = (first["doc_id"], first["n_words"], hit, sum(r["n_items"] for r in rows) // copies, hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hit > 0, ids, [{"begin": b, "end": e} for b, e in spans])
-        yield _result([one] * copies)
+        return pa.Table.from_batches([_result([one] * copies)])
 
     return every.groupBy("doc_id", "n_words").applyInArrow(run, HITS)

@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .benchmark_overlap import benchmark_overlap
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(spark, _read(spark, sf_dir, "documents"), k=4, share=80)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, _read(spark, sf_dir, "documents"))
 
@@ -22,4 +27,4 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_exact_dedup, op7_decontaminate)}
+    return {f.__name__: f for f in (op3_near_dedup, op5_exact_dedup, op7_decontaminate)}

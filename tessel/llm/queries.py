@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .benchmark_overlap import benchmark_overlap
 from .exact_dedup import exact_dedup
+from .html_text import html_text
 from .near_dedup import near_dedup
+from .token_file import token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(spark, _read(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=2)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark, _read(spark, sf_dir, "documents"), k=4, share=80)
 
@@ -26,5 +32,9 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(spark, _read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_near_dedup, op5_exact_dedup, op7_decontaminate)}
+    return {f.__name__: f for f in (op1_token_files, op3_near_dedup, op5_exact_dedup, op7_decontaminate, op10_html_text)}

@@ -8,6 +8,8 @@ from .benchmark_overlap import benchmark_overlap
 from .exact_dedup import exact_dedup
 from .html_text import html_text
 from .near_dedup import near_dedup
+from .pii import personal_data
+from .token_counts import token_counts
 from .token_file import token_files
 
 
@@ -32,9 +34,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(spark, _read(spark, sf_dir, "documents")).drop("found")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(spark, _read(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(spark, _read(spark, sf_dir, "pages"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op3_near_dedup, op5_exact_dedup, op7_decontaminate, op10_html_text)}
+    return {f.__name__: f for f in (op1_token_files, op3_near_dedup, op5_exact_dedup, op7_decontaminate, op8_personal_data, op9_token_counts, op10_html_text)}

@@ -36,6 +36,7 @@ from .components import connected_components
 from .words import SPACED, U, mix, shingles, words
 
 CHUNKS, WIDTH, ERRORS, BLOCK = 13, 6, 1, 2048
+FILTER_BITS = 1 << 22
 _rng = np.random.default_rng(8)
 _PERM = _rng.integers(1, 2**63, 512, dtype=np.uint64) * U(2) + U(1)
 _SLOT = _rng.integers(1, 2**63, 512, dtype=np.uint64) * U(2) + U(1)
@@ -97,9 +98,26 @@ def _features(k: int, chunks: int, width: int, errors: int):
     return run
 
 
-def _sets(k: int):
+def _filter_bits(wanted: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter with one hash: FILTER_BITS bits whatever the number of values, set on the executors."""
+    slot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    rows = wanted.select(F.floor(slot / 32).cast("int").alias("at"), F.expr("1L").alias("one"), (slot % 32).cast("int").alias("bit"))
+    found = rows.groupBy("at").agg(F.expr("bit_or(shiftleft(one, bit))").alias("bits")).toLocalIterator(prefetchPartitions=True)
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    for r in found:  # at most one row for each 32 bits
+        out[r["at"]] = r["bits"]
+    return out
+
+
+def _sets(k: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        def possible():
+            for batch in batches:
+                slot = batch.column("slot").to_numpy()
+                mask = bits.value[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1)
+                yield batch.filter(pa.array(mask.astype(bool)))
+
+        for batch in slices(possible(), "text"):
             found, count = shingles(*words(*utf8(batch.column("text")), SPACED), k)
             some = count > 0
             at = np.concatenate([[0], np.cumsum(count)])
@@ -176,9 +194,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     large = own.join(other, "root").where("abs(level - level2) <= 1").select("h", "root", F.concat_ws("|", F.least(mine, its), F.greatest(mine, its)).alias("pair"))
     tasks = small.unionByName(large)
 
-    wanted = nodes.select(F.col("rep").alias("wanted")).distinct()
-    text = source.join(wanted, source.id.eqNullSafe(wanted.wanted), "left_semi")
-    sets = text.mapInArrow(_sets(k), "h bigint, shingles binary")
+    # texts are not shuffled: tasks that read them drop most others by a filter of fixed size, and the join below the rest
+    bits = spark.sparkContext.broadcast(_filter_bits(nodes, "rep"))
+    sets = source.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))).mapInArrow(_sets(k, bits), "h bigint, shingles binary")
     found = tasks.join(sets, "h").select("root", "pair", "h", "shingles").groupBy("root", "pair").applyInArrow(_verify(share), "a bigint, b bigint")
     links = scratch.table("links", found.distinct())
     joined = scratch.table("joined", connected_components(spark, scratch, links, "links-cc"))
@@ -186,7 +204,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     member = joined.join(nodes.select("h", "rep"), joined.node == F.col("h")).select("h", "root", "rep")
     smallest = member.groupBy("root").agg(F.min("rep").alias("component"))
     grouped = member.join(smallest, "root").select("h", "component")
-    label = classes.select("h", "rep").join(grouped, "h", "left").select("h", F.coalesce("component", "rep").alias("component"))
+    # written, so the last join has plain sides and AQE can split the class of many copies
+    label = scratch.table("labels", classes.select("h", "rep").join(grouped, "h", "left").select("h", F.coalesce("component", "rep").alias("component")))
     out = feat.select("id", "n", "h").join(label, "h", "left")
     component = F.when(F.col("h").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .benchmark_overlap import benchmark_overlap
 from .exact_dedup import exact_dedup
 from .html_text import html_text
+from .importance import importance_sample
 from .interpolated_lm import interpolated_scores
 from .near_dedup import near_dedup
 from .pii import personal_data
@@ -22,6 +23,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, _read(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=2)
 
 
+def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sample(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark, _read(spark, sf_dir, "documents"), k=4, share=80)
 
@@ -52,4 +57,4 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op3_near_dedup, op4_interpolated_lm, op5_exact_dedup, op7_decontaminate, op8_personal_data, op9_token_counts, op10_html_text)}
+    return {f.__name__: f for f in (op1_token_files, op2_importance, op3_near_dedup, op4_interpolated_lm, op5_exact_dedup, op7_decontaminate, op8_personal_data, op9_token_counts, op10_html_text)}

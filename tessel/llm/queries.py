@@ -13,6 +13,7 @@ from .near_dedup import near_dedup
 from .pii import personal_data
 from .token_counts import token_counts
 from .token_file import token_files
+from .trie_pieces import piece_ids
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, _read(spark, sf_dir, "documents"))
 
 
+def op6_trie_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_ids(spark, _read(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_overlap(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -57,4 +62,4 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_importance, op3_near_dedup, op4_interpolated_lm, op5_exact_dedup, op7_decontaminate, op8_personal_data, op9_token_counts, op10_html_text)}
+    return {f.__name__: f for f in (op1_token_files, op2_importance, op3_near_dedup, op4_interpolated_lm, op5_exact_dedup, op6_trie_pieces, op7_decontaminate, op8_personal_data, op9_token_counts, op10_html_text)}

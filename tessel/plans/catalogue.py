@@ -1,4 +1,11 @@
 """All registered queries and the SQL that checks them."""
 
+from __future__ import annotations
+
+from . import graph_queries, ranking_queries, retrieval_queries, text_queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (retrieval_queries, ranking_queries, text_queries, graph_queries):
+    QUERIES.update(_module.QUERIES)
+    ORACLE_SQL.update(_module.ORACLE_SQL)

@@ -84,16 +84,19 @@ class Chunk:
         before[self.begin[:-1]] = END
         single = mix(tokens) & ~U(1)
         pair = mix(before * U(0x9E3779B97F4A7C15) + tokens) | U(1)
-        self.keys, at = np.unique(np.concatenate([single, pair]), return_inverse=True)
+        both = np.concatenate([single, pair])
+        del single, pair, before
+        self.keys, at = np.unique(both, return_inverse=True)
+        del both
         bucket = ((self.keys >> U(1)) % U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        self.keys, at = self.keys[order], place[at]
+        self.keys, at = self.keys[order], place.astype(np.int32)[at]
         self.bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
         n = len(tokens)
         self.word, self.pair = at[:n], at[n:]
-        self.context = np.empty(n, np.int64)
+        self.context = np.empty(n, np.int32)
         self.context[1:] = self.word[:-1]
         if n:  # a first token follows an end, which this chunk has
             self.context[self.begin[:-1]] = self.word[self.begin[1] - 1]
@@ -230,18 +233,19 @@ def fit_weights(held: DataFrame, tokens: int, types: int, *, steps: int = 20, cl
 def interpolated_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, chunks: int | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
     scratch = Scratch(spark, "lm")
-    n = chunks or partitions(spark)
+    buckets = partitions(spark)
+    n = chunks or 3 * buckets  # a chunk's tokens take some twenty times its text in memory
     few = max(1, n // 8)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("remainder", (F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 10).cast("int"))
     dealt = F.xxhash64("id", "text")
     source = source.withColumn("chunk", F.when(F.col("remainder") == 1, F.pmod(dealt, F.lit(few)) + n).otherwise(F.pmod(dealt, F.lit(n))).cast("int"))
-    asked = source.groupBy("chunk").applyInArrow(_ask(n), ASK)
+    asked = source.groupBy("chunk").applyInArrow(_ask(buckets), ASK)
     answers = scratch.table("answers", asked.groupBy("bucket").applyInArrow(_answer, ANSWER))
     size = answers.where("chunk = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
     tokens, types = int(size["tokens"]), int(size["types"])
     replies = answers.where("chunk >= 0").select("chunk", "bucket", "core", "deleted")
     deleted = source.where("remainder = 1").groupBy("chunk").cogroup(replies.where(F.col("chunk") >= n).groupBy("chunk"))
-    held = deleted.applyInArrow(_held(n), "b int, vw bigint, v bigint, w bigint, n bigint")
+    held = deleted.applyInArrow(_held(buckets), "b int, vw bigint, v bigint, w bigint, n bigint")
     weights = fit_weights(scratch.table("held", held.groupBy("b", "vw", "v", "w").agg(F.sum("n").alias("n"))), tokens, types)
-    return source.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(n, tokens, types, weights), SCORES)
+    return source.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(buckets, tokens, types, weights), SCORES)

@@ -189,9 +189,11 @@ def _unite(found: list[DataFrame]) -> DataFrame:
     for more in found[1:]:
         every = every.unionByName(more)
 
+    blocks = len(found)
+
     def run(key, table):
         rows = table.to_pylist()
-        first, copies = rows[0], len(rows) // len(found)
+        first, copies = rows[0], len(rows) // blocks
         ids = sorted({x for r in rows for x in r["items"]}, key=str)
         spans = united(sorted({(s["begin"], s["end"]) for r in rows for s in r["spans"]}))
         hit = sum(e - b for b, e in spans)

@@ -83,7 +83,13 @@ def citation_expand(spark, sf_dir):
     return resolve_citations(asked, units, ["l_orderkey"], "requested", "citation").select("l_orderkey", "n", "requested", "citation", "basis")
 
 
-QUERIES = {f.__name__: f for f in (leaf_nodes, ancestor_closure, drop_parent_dups, fk_violations, duplicate_keys, set_ops_diff, change_report, superseded_filter, catalog_summary, build_stats, unit_type_counts, citation_expand)}
+def event_windows(spark, sf_dir):
+    from ..streaming.ingest import windowed_counts
+
+    return windowed_counts(read(spark, sf_dir, "events"), "ts", "event_type").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
+QUERIES = {f.__name__: f for f in (leaf_nodes, ancestor_closure, drop_parent_dups, fk_violations, duplicate_keys, set_ops_diff, change_report, superseded_filter, catalog_summary, build_stats, unit_type_counts, citation_expand, event_windows)}
 
 _TREE = "tree AS (SELECT o_orderkey AS unit_id, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey - 1 END AS parent_id, o_custkey % 3 AS target FROM orders)"
 _UP = f"""WITH RECURSIVE {_TREE}, up AS (
@@ -112,6 +118,7 @@ ORACLE_SQL = {
         SELECT p_brand, sum(n)::BIGINT AS n_parts, string_agg(p_type || '=' || example, ';' ORDER BY p_type) AS examples FROM e GROUP BY p_brand""",
     "build_stats": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows FROM {t}" for t in ("part", "orders", "customer", "documents", "pages")),
     "unit_type_counts": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p FROM orders GROUP BY 1",
+    "event_windows": "SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "citation_expand": """
         WITH l AS (SELECT l_orderkey, l_linenumber AS n, least(l_partkey % 7, 4) AS more FROM lineitem WHERE l_orderkey % 5 = 0),
         a AS (SELECT l_orderkey, n, unnest(range(n, n + more + 1)) AS x FROM l),

@@ -95,7 +95,7 @@ def runs(offs: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many bytes of text (or one row)."""
     for batch in batches:
         _, offs = utf8(batch.column(column))

@@ -67,7 +67,7 @@ class Chunk:
         self.ids, self.remainder = table.column("id"), table.column("remainder").to_numpy()
         flat, offs = utf8(table.column("text").cast(pa.large_string()))
         hashes, count = [], []
-        for a, b in runs(offs, 4 << 20):
+        for a, b in runs(offs, 1 << 20):
             found, begin = words(flat[offs[a] : offs[b]], offs[a : b + 1] - offs[a], SPACED)
             with_end = np.empty(len(found) + b - a, U)
             at = begin[1:] + np.arange(b - a)

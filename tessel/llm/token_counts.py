@@ -12,6 +12,7 @@ Nulls: a null text is empty and has length 0. Repeated rows count as often. An e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +23,7 @@ from .common import Scratch, slices, tokenizer_path
 STEP = 1024
 
 
+@lru_cache(maxsize=2)
 def encoder(name: str):
     """A function from texts to lists of ids, for a .tiktoken or a tokenizers .json file."""
     path = tokenizer_path(name)

@@ -28,6 +28,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -139,7 +140,7 @@ class Encoder:
     other vocabulary encodes whole texts.
     """
 
-    MARK, MOST = "¤", 1_000_000
+    MARK, MOST = "¤", 700_000
     #: White space of Unicode; Python's own split also takes U+001C to U+001F.
     WORD = re.compile("[^\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
     ODD = re.compile("[\\x1c-\\x1f]")
@@ -162,7 +163,8 @@ class Encoder:
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[-1]
         self.mark_ids = len(mark)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of pieces of words
+        self.raw: dict[str, bytes] = {}  # of words as they stand
         shown = [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None for b in range(256)]
         hidden = iter(range(256, 512))
         #: The byte-level alphabet: printable bytes stand for themselves, the rest from U+0100 on.
@@ -177,8 +179,6 @@ class Encoder:
         return None
 
     def _learn(self, fresh: list[str]) -> None:
-        if len(self.known) + len(fresh) > self.MOST:
-            self.known.clear()
         plain, model = [], self.tokenizer.model
         for w in fresh:
             if (bare := self._bare(w)) is not None:
@@ -208,25 +208,39 @@ class Encoder:
         """Packed ids of each text."""
         if not self.by_word:
             return [self._whole(t) if t else b"" for t in texts]
-        split = []
+        raw = self.raw
+        if len(raw) > self.MOST:
+            raw.clear()
+        split, fresh = [], set()
         for text in texts:
-            pieces = []
-            for w in self.WORD.findall(text) if text and self.ODD.search(text) else (text or "").split():
-                if w.isascii():
-                    w = w.lower()
-                if (last := w[-1]) in ".," and len(w) > 1 and (bare := w.rstrip(".,")) and bare[-1].isalpha():
-                    pieces.append(bare)
-                    w = w[len(bare) :] if last else w
-                pieces.append(w)
-            split.append(pieces)
-        known = self.known
-        fresh = list({w for pieces in split for w in pieces if w not in known})
+            words = self.WORD.findall(text) if text and self.ODD.search(text) else (text or "").split()
+            split.append(words)
+            fresh.update(set(words).difference(raw))
         if fresh:
-            before = len(known)
-            self._learn(fresh)
-            if len(self.known) < before + len(fresh):  # it was emptied: words of this batch may be gone
-                self._learn(list({w for pieces in split for w in pieces if w not in self.known}))
-        return [b"".join([known[w] for w in pieces]) for pieces in split]
+            parts = {w: self._parts(w) for w in fresh}
+            new = list({p for own in parts.values() for p in own if p not in self.known})
+            if len(self.known) + len(new) > self.MOST:
+                self.known.clear()
+                new = list({p for own in parts.values() for p in own})
+            self._learn(new)
+            for w, own in parts.items():
+                raw[w] = b"".join([self.known[p] for p in own])
+        return [b"".join(map(raw.__getitem__, words)) for words in split]
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, ...]:
+        """A word as the pieces that are looked up: lower-cased if that is safe, stops and commas at its end apart."""
+        if word.isascii():
+            word = word.lower()
+        if word[-1] in ".," and (bare := word.rstrip(".,")) and bare[-1].isalpha():
+            return bare, word[len(bare) :]
+        return (word,)
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """An encoder with what it has learned; kept by a worker process from task to task."""
+    return Encoder(path)
 
 
 def _write(path: str, folder: str, end_id: int, file_ids: int):
@@ -237,7 +251,7 @@ def _write(path: str, folder: str, end_id: int, file_ids: int):
         context = TaskContext.get()
         part = context.partitionId()
         store, root = FileSystem.from_uri(folder) if ":" in folder else FileSystem.from_uri(f"file://{folder}")
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         end = np.array([end_id]).astype(encoder.kind).tobytes()
         docs, counts, parts, made, held = [], [], [], [], 0
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,10 @@ class Pieces:
                 self.raw[i] = piece.replace(MARK, " ").encode()
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id):
             raise ValueError("a piece of this vocabulary reaches over the start of a word")
-        self.longest = max(map(len, self.id), default=1)
+        #: The longest piece by its last three characters: most places need not try long ones.
+        self.longest: dict[str, int] = {}
+        for p in self.id:
+            self.longest[p[-3:]] = max(self.longest.get(p[-3:], 0), len(p))
         self.least = min(self.score.values(), default=0.0)
         self.apart: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
@@ -90,7 +94,7 @@ class Pieces:
         before, length = "", [0]
         last: list[str] = [""]
         total: list[float] = [0.0]
-        ids, longest, unigram = self.id, self.longest, self.kind == "unigram"
+        ids, longest, unigram = self.id, self.longest.get, self.kind == "unigram"
         apart, stay = self.apart, self._stay_apart
         for word in words:
             shared, n = 0, len(word)
@@ -101,9 +105,12 @@ class Pieces:
             del length[shared + 1 :], last[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, n + 1):
                 chosen, step = None, 1
+                most = longest(word[end - 3 : end], 2) if end > 2 else end
+                if most > end:
+                    most = end
                 if unigram:
                     best = None
-                    for size in range(1, min(longest, end) + 1):
+                    for size in range(1, most + 1):
                         piece = word[end - size : end]
                         if piece in ids:
                             s = total[end - size] + self.score[piece]
@@ -113,7 +120,7 @@ class Pieces:
                         best, chosen = total[end - 1] + self.least - 10.0, word[end - 1]
                     total.append(best)
                 else:
-                    for size in range(min(longest, end), 0, -1):
+                    for size in range(most, 0, -1):
                         piece = word[end - size : end]
                         if piece in ids:
                             left = last[end - size]
@@ -142,9 +149,9 @@ class Pieces:
             before = word
 
     def _learn(self, fresh: list[str]) -> None:
-        fresh.sort()
+        marked = sorted((w if w[:1] == MARK else MARK + w, w) for w in fresh)
         ids = self.id
-        for word, pieces in zip(fresh, self.segment(fresh), strict=True):
+        for (_, word), pieces in zip(marked, self.segment([m for m, _ in marked]), strict=True):
             own: list[int] = []
             for p in pieces:
                 i = ids.get(p)
@@ -156,23 +163,37 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed 32-bit ids of each text."""
-        split = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > MOST:
             self.known.clear()
         known = self.known
-        fresh = list({w for words in split for w in words if w not in known})
+        split, fresh = [], set()
+        for t in texts:
+            if not t:
+                words = []
+            elif MARK in t or "  " in t or t[0] == " " or t[-1] == " ":
+                words = WORD.findall(MARK + t.replace(" ", MARK))
+            else:
+                words = t.split(" ")  # the keys of such words have no mark, which is the same for all
+            split.append(words)
+            fresh.update(set(words).difference(known))
         if fresh:
-            self._learn(fresh)
-        return [b"".join([known[w] for w in words]) for words in split]
+            self._learn(list(fresh))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids.tolist()))
         return raw[1:].decode(errors="replace") if raw[:1] == b" " else raw.decode(errors="replace")
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str, kind: str = "bpe") -> Pieces:
+    """A model with what it has learned; kept by a worker process from task to task."""
+    return Pieces(path, kind)
+
+
 def _encode(path: str, kind: str, text: str, names: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path, kind)
+        pieces = vocabulary(path, kind)
         for batch in slices(batches, text, 2 << 20):
             texts = batch.column(text).to_pylist()
             packed = pieces.encode(texts)
@@ -214,7 +235,7 @@ def decode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", ids_col:
     import pyspark.sql.types as T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = vocabulary(path)
         for batch in batches:
             texts = [None if x is None else pieces.decode(np.array(x, np.int64)) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])

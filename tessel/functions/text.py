@@ -108,9 +108,9 @@ def token_estimate(text: Column, safety_percent: int = 120) -> Column:
 
     In whole twentieths, as a floating sum depends on its order.
     """
-    count = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    count = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))
     space, word = count(SPACE), count("[A-Za-z0-9_]")
-    other = F.length(F.regexp_replace(text, rf"[\x00-\x7f]|{SPACE}", ""))
+    other = F.length(F.regexp_replace(text, rf"[\x00-\x7f{SPACE[1:-1]}]+", ""))
     ascii_rest = F.length(text) - space - word - other
     twentieths = 2 * space + 5 * word + 10 * ascii_rest + 20 * other
     return F.ceil((twentieths * safety_percent).cast("double") / 2000).cast("int")

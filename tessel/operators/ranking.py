@@ -86,24 +86,29 @@ def role_quotas(limit: int, roles: Sequence[str], cycle: Sequence[str]) -> dict[
 def quota_interleave(rows: DataFrame, request: Sequence[str], role: str, key: str, rank: str, quotas: dict[str, int], limit: int) -> DataFrame:
     """Each role in turn takes its quota of rows that no earlier role took; slots alternate over the roles, then the rest follows in role order.
 
-    A role's choice depends on the roles before it, so there is one anti-join a role; the roles are a
-    short fixed list. Only the first sum(quotas) rows of a ranking can be chosen, so the windows are small.
+    A role's choice depends on the roles before it, so the choice is a fold over a request's candidates in role
+    order, after one grouping. Ranks count from 1; no row past limit + sum(quotas) of its role can be
+    shown, so the arrays are that short.
     """
-    join = [*request, key]
     most = sum(quotas.values())
-    picked: DataFrame | None = None
-    for i, (name, quota) in enumerate(quotas.items()):
-        own = rows.where((F.col(role) == name) & (F.col(rank) <= most))
-        if picked is not None:
-            own = own.join(picked.select(*join), join, "left_anti")
-        own = own.withColumn("_slot", F.row_number().over(Window.partitionBy(*request).orderBy(rank))).where(F.col("_slot") <= quota).withColumn("_role", F.lit(i)).select(*join, role, rank, "_slot", "_role")
-        picked = own if picked is None else picked.unionByName(own)
     order_of = F.create_map(*(F.lit(x) for i, name in enumerate(quotas) for x in (name, i)))
-    rest = rows.join(picked.select(*join), join, "left_anti").withColumn("_role", F.try_element_at(order_of, F.col(role)))
-    rest = rest.groupBy(*join).agg(F.min_by(F.struct(role, rank, "_role"), F.struct("_role", rank)).alias("_b")).select(*join, f"_b.{role}", f"_b.{rank}", F.lit(None).cast("int").alias("_slot"), "_b._role")
-    every = picked.withColumn("_rest", F.lit(0)).unionByName(rest.withColumn("_rest", F.lit(1)))
-    order = Window.partitionBy(*request).orderBy("_rest", "_slot", "_role", rank)
-    return every.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit).select(*join, role, "position")
+    quota_of = F.array(*(F.lit(q) for q in quotas.values()))
+    candidate = F.struct(F.try_element_at(order_of, F.col(role)).alias("r"), F.col(rank).cast("int").alias("n"), F.col(key).alias("k"))
+    kind = dict(rows.dtypes)[key]
+    grouped = rows.where((F.col(rank) <= limit + most) & F.col(role).isin(*quotas)).groupBy(*request).agg(F.array_sort(F.collect_list(candidate)).alias("c"))
+
+    def step(picked: Column, x: Column) -> Column:
+        slot = F.size(F.filter(picked, lambda p: p["r"] == x["r"]))
+        taken = F.exists(picked, lambda p: p["k"] == x["k"]) | (slot >= F.element_at(quota_of, x["r"] + 1))
+        return F.when(taken, picked).otherwise(F.array_append(picked, F.struct((slot + 1).alias("slot"), x["r"].alias("r"), x["k"].alias("k"))))
+
+    chosen = F.array_sort(F.aggregate("c", F.expr(f"cast(array() as array<struct<slot:int,r:int,k:{kind}>>)"), step))
+    picked = grouped.select(*request, "c", chosen.alias("p"))
+    rest = F.filter("c", lambda x: ~F.exists("p", lambda p: p["k"] == x["k"]))
+    first = F.filter(rest, lambda x: ~F.exists(rest, lambda y: (y["k"] == x["k"]) & (y < x)))
+    shown = F.slice(F.concat(F.transform("p", lambda p: F.struct(p["r"].alias("r"), p["k"].alias("k"))), F.transform(first, lambda x: F.struct(x["r"].alias("r"), x["k"].alias("k")))), 1, limit)
+    names = F.array(*(F.lit(name) for name in quotas))
+    return picked.select(*request, F.posexplode(shown).alias("at", "x")).select(*request, F.col("x.k").alias(key), F.element_at(names, F.col("x.r") + 1).alias(role), (F.col("at") + 1).alias("position"))
 
 
 def priority_merge(sources: Sequence[DataFrame], request: Sequence[str], key: str, rank: str, limit: int) -> DataFrame:

@@ -51,6 +51,11 @@ def byte_grams(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (mix(x) & U(BUCKETS - 1)).astype(np.int64), row[:n], row[:n] == row[GRAM - 1 :]
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    top = counts.max()
+    return counts.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = {k: np.zeros(BUCKETS, np.int64) for k in (0, GOOD, REST)}
     for batch in slices(batches, "text"):
@@ -64,8 +69,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if counts.any():
             for a in range(0, BUCKETS, SLICE):
                 part = counts[a : a + SLICE]
-                width = "<u1" if part.max() < 1 << 8 else "<u2" if part.max() < 1 << 16 else "<u4" if part.max() < 1 << 32 else "<u8"
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([a], pa.int32()), pa.array([part.astype(width).tobytes()], pa.binary())], names=["class", "at", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([a], pa.int32()), pa.array([_packed(part)], pa.binary())], names=["class", "at", "counts"])
 
 
 def _sum(key, table):
@@ -73,7 +77,7 @@ def _sum(key, table):
     for raw in table.column("counts"):
         data = raw.as_py()
         out += np.frombuffer(data, f"<u{len(data) // SLICE}").astype(np.int64)
-    return pa.table({"class": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
+    return pa.table({"class": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([_packed(out)], pa.binary())})
 
 
 def _ratios(value, names: tuple[str, str, str], text: str):
@@ -84,7 +88,7 @@ def _ratios(value, names: tuple[str, str, str], text: str):
         for batch in slices(batches, text):
             m = batch.num_rows
             bucket, row, inside = byte_grams(*utf8(batch.column(text)))
-            w, v = (np.where(inside, r[bucket], 0.0) if len(bucket) else np.zeros(0) for r in ratio)
+            w, v = (np.where(inside, r[bucket].astype(np.float64), 0.0) if len(bucket) else np.zeros(0) for r in ratio)
             n = np.bincount(row[inside], minlength=m)
             mean = np.bincount(row, weights=w, minlength=m) / (n + 20.0)
             worst = np.zeros(m)
@@ -102,9 +106,9 @@ def _ratios(value, names: tuple[str, str, str], text: str):
 
 @dataclass
 class Model:
-    """Log ratios of all buckets, and how a text's two readings become its log importance weight."""
+    """The broadcast log ratios of all buckets (4 MB), and how a text's two readings become its log importance weight."""
 
-    ratio: np.ndarray
+    ratio: object
     mean: tuple[float, float] = (0.0, 1.0)  # threshold and spread
     worst: tuple[float, float] = (0.0, 1.0)
     slope: float = 1.0
@@ -154,15 +158,15 @@ def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, labels: DataFram
     summed = marked.select("text", "class").mapInArrow(_counts, "class int, at int, counts binary").groupBy("class", "at").applyInArrow(_sum, "class int, at int, counts binary")
     counts = {k: np.zeros(BUCKETS) for k in (0, GOOD, REST)}
     for r in summed.toLocalIterator():  # at most three arrays of BUCKETS counts
-        counts[r["class"]][r["at"] : r["at"] + SLICE] = np.frombuffer(r["counts"], np.int64)
+        counts[r["class"]][r["at"] : r["at"] + SLICE] = np.frombuffer(r["counts"], f"<u{len(r['counts']) // SLICE}")
     base = (counts[0] + 1e-3) / (counts[0] + 1e-3).sum()
     ratios = []
     for share in priors:
         prior = share * (counts[GOOD].sum() + counts[REST].sum()) + 1.0
         target, rest = ((counts[k] + prior * base) / (counts[k].sum() + prior) for k in (GOOD, REST))
         ratios.append(np.log(target) - np.log(rest))
-    model = Model(np.array(ratios, np.float32))
-    value = spark.sparkContext.broadcast(model.ratio)
+    model = Model(spark.sparkContext.broadcast(np.array(ratios, np.float16)))
+    value = model.ratio
     known = marked.where("class > 2").mapInArrow(_ratios(value, ("n", "mean", "worst"), "text"), "id bigint, text string, class int, n bigint, mean double, worst double")
     seen = np.array([(r["class"], r["mean"], r["worst"]) for r in known.where("n > 0").select("class", "mean", "worst").collect()]).reshape(-1, 3)  # a sixth of the sample
     good, other = seen[seen[:, 0] == GOOD + 2], seen[seen[:, 0] == REST + 2]
@@ -235,7 +239,7 @@ def importance_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, i
     scratch = Scratch(spark, "importance")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     model = fit(spark, scratch, source, labels, labelled=labelled)
-    value = spark.sparkContext.broadcast(model.ratio)
+    value = model.ratio
     scores = scratch.table("scores", weighted(source, model, value, "id", "text", seed, temperature).select(F.col("id").alias("doc_id"), "n_grams", "log_weight", "sample_key"))
     if k is None:
         k = scores.where("log_weight > 0").count() if model.usable else scores.where("log_weight is not null").count()

@@ -150,6 +150,6 @@ class Index:
 
     def catalogue(self) -> DataFrame:
         """Laws with an example citation of each unit kind (Q6)."""
-        example = self.table("units").groupBy("doc_id", "unit_type").agg(F.min("local_citation").alias("example"))
+        example = self.table("units").where("unit_type is not null").groupBy("doc_id", "unit_type").agg(F.min("local_citation").alias("example"))
         nested = example.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("unit_type", "example")))).alias("examples"))
         return self.table("laws").join(nested, "doc_id", "left").select("doc_id", "title", "jurisdiction", "examples").orderBy("jurisdiction", "title")

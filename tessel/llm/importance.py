@@ -5,7 +5,9 @@ labelled texts of good quality that are not toxic; the raw model is a mixture of
 the multinomial of the other labelled texts, both smoothed towards the n-gram counts of all
 documents (a Dirichlet prior, a share of the labelled n-grams), so an n-gram without labels says
 nothing. A text's ratio is read as a whole (mean over its n-grams, a strong prior) and at its
-worst place (lowest sum over 4 n-grams, a weak prior, where a single bad word shows). Both are put on one scale by
+worst place (lowest sum over 4 n-grams, a weak prior, where a single bad word shows). The lowest of
+many sums falls with the log of their number, so the worst place is read above what labelled good
+texts of that length have, by a least-squares line. Both are put on one scale by
 labelled texts that took no part in the counts, and a logistic fit turns the lesser into the
 log importance weight. Documents are drawn without replacement by Gumbel top-k: the k largest of
 weight over temperature plus Gumbel noise (at 0.1 only texts near the edge are left to chance), where k is by default the number of documents with positive
@@ -90,7 +92,7 @@ def _ratios(value, names: tuple[str, str, str], text: str):
             bucket, row, inside = byte_grams(*utf8(batch.column(text)))
             w, v = (np.where(inside, r[bucket].astype(np.float64), 0.0) if len(bucket) else np.zeros(0) for r in ratio)
             n = np.bincount(row[inside], minlength=m)
-            mean = np.bincount(row, weights=w, minlength=m) / (n + 20.0)
+            mean = np.bincount(row, weights=w, minlength=m) / np.maximum(n, 1)  # not shrunk, or short texts stay below any threshold
             worst = np.zeros(m)
             if len(v) >= WINDOW:
                 near = v[: len(v) - WINDOW + 1].copy()
@@ -111,12 +113,14 @@ class Model:
     ratio: object
     mean: tuple[float, float] = (0.0, 1.0)  # threshold and spread
     worst: tuple[float, float] = (0.0, 1.0)
+    fall: float = 0.0  # of a good text's worst window, by the log of its n-grams
     slope: float = 1.0
     offset: float = 0.0
     usable: bool = True
 
     def weight(self, n: Column, mean: Column, worst: Column, text_bytes: Column) -> Column:
-        lesser = F.least((mean - self.mean[0]) / self.mean[1], (worst - self.worst[0]) / self.worst[1])
+        level = worst + F.lit(self.fall) * F.log(n + 1.0)
+        lesser = F.least((mean - self.mean[0]) / self.mean[1], (level - self.worst[0]) / self.worst[1])
         known = F.lit(self.slope) * lesser + self.offset if self.usable else F.lit(0.0)
         return F.when(text_bytes > 0, F.when(n > 0, known).otherwise(F.lit(0.0)))
 
@@ -132,6 +136,13 @@ def _split(good: np.ndarray, rest: np.ndarray) -> tuple[float, float]:
     return float((values[i] + values[min(i + 1, len(values) - 1)]) / 2), float(good.std() + 1e-9)
 
 
+def _fall(n: np.ndarray, worst: np.ndarray) -> float:
+    """How far the worst window of good texts falls for each unit of log n, by least squares; never below 0."""
+    x = np.log(n + 1.0)
+    x -= x.mean()
+    return max(0.0, -float(x @ worst / max(x @ x, 1e-9)))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of log p(x | y = 1) / p(x | y = 0): a logistic fit in which both classes weigh alike."""
     a, b = 1.0, 0.0
@@ -168,11 +179,14 @@ def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, labels: DataFram
     model = Model(spark.sparkContext.broadcast(np.array(ratios, np.float16)))
     value = model.ratio
     known = marked.where("class > 2").mapInArrow(_ratios(value, ("n", "mean", "worst"), "text"), "id bigint, text string, class int, n bigint, mean double, worst double")
-    seen = np.array([(r["class"], r["mean"], r["worst"]) for r in known.where("n > 0").select("class", "mean", "worst").collect()]).reshape(-1, 3)  # a sixth of the sample
+    seen = np.array([(r["class"], r["mean"], r["worst"], r["n"]) for r in known.where("n > 0").select("class", "mean", "worst", "n").collect()]).reshape(-1, 4)  # a sixth of the sample
     good, other = seen[seen[:, 0] == GOOD + 2], seen[seen[:, 0] == REST + 2]
     if len(good) < 20 or len(other) < 20 or not counts[GOOD].any() or not counts[REST].any():
         model.usable = False
         return model
+    model.fall = _fall(good[:, 3], good[:, 2])
+    for x in (seen, good, other):
+        x[:, 2] += model.fall * np.log(x[:, 3] + 1.0)
     model.mean = _split(good[:, 1], other[:, 1])
     missed = other[other[:, 1] > model.mean[0]]  # what only its worst place can tell
     model.worst = _split(good[:, 2], (missed if len(missed) >= 10 else other)[:, 2])

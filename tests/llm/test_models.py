@@ -54,6 +54,31 @@ def test_importance_draws_exactly_k(spark, documents):
     assert importance_sample(spark, documents(rows[:5]), known.limit(0)).where("kept").count() == 5
 
 
+def test_importance_keeps_clean_texts_of_any_length(spark, documents):
+    rng = random.Random(13)
+    letters = "abcdefghiklmnoprstuv"
+    known_words = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(400)]
+
+    def clean(n):  # a few words are new to the model
+        return [rng.choice(known_words) if rng.random() < 0.97 else "".join(rng.choice(letters) for _ in range(6)) for _ in range(n)]
+
+    sizes = {0: 12, 1: 60, 2: 250, 3: 2500}
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 6 == 5
+        w = clean(sizes[i % 3])
+        if bad:
+            w = ["zq" + x[::-1].upper() for x in w] if i % 12 == 5 else [*w[: len(w) // 2], "vile", *w[len(w) // 2 :]]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(not (bad and i % 12 == 5)), int(bad and i % 12 != 5)))
+    fresh = [(10_000 + i, " ".join(clean(sizes[i % 4]))) for i in range(160)]
+    got = importance_sample(spark, documents(rows + fresh), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    shares = {n: np.mean([kept[10_000 + i] for i in range(160) if sizes[i % 4] == n]) for n in sizes.values()}
+    assert min(shares.values()) > 0.8, shares
+    assert np.mean([kept[i] for i, q, t in labels if not q or t]) < 0.2
+
+
 def test_kth_largest(spark):
     rng = random.Random(9)
     values = [rng.gauss(0, 1) for _ in range(2000)] + [0.5] * 300 + [1e9, -1e9]

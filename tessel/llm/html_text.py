@@ -6,7 +6,10 @@ and comments weigh nothing. Weights are summed over sliding windows of `window`
 surges where such a sum rises from nothing and dives where it falls back to nothing. The
 heaviest stretch between a surge and its dive is kept, and with it those stretches that
 have lines of its section, so an advert of many lines does not cut an article. Where
-a page marks article elements, only the lines of the heaviest one take part.
+a page marks article or main elements, only the lines of the heaviest one take part: a main
+element with the articles in it, or articles that stand side by side in one section, as parts of one
+text; an article within an article is another text. There every stretch from a surge to its dive is
+kept, with a heading right before it, and what lies between (runs of links) is not.
 
 Nulls: a null or empty page has no text. Unclosed and stray tags are met with the
 usual rules (a block opens a new line; an end tag closes what it names, if it is open).
@@ -32,6 +35,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select".split())
 OUTSIDE = frozenset("head title nav header footer aside form button menu dialog label fieldset".split())
 SECTION = frozenset("article body div main section table td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADING = re.compile(r"header|title|heading", re.I)
 #: Words of class, id and role that name what is no article text.
 NAMES = re.compile(
@@ -45,20 +49,21 @@ HIDDEN = re.compile(r"\shidden(?:[\s>=/]|$)|aria-hidden\s*=\s*[\"']?true|display
 
 
 class _Open:
-    __slots__ = ("name", "outside", "link", "core", "box")
+    __slots__ = ("name", "outside", "link", "core", "box", "heading", "article")
 
-    def __init__(self, name: str, outside: bool, link: bool, core: int, box: int):
-        self.name, self.outside, self.link, self.core, self.box = name, outside, link, core, box
+    def __init__(self, name: str, outside: bool, link: bool, core: int, box: int, heading: bool, article: bool):
+        self.name, self.outside, self.link, self.core, self.box, self.heading, self.article = name, outside, link, core, box, heading, article
 
 
 class Line(NamedTuple):
-    """weight: characters that are no link's; article, section: numbers of the elements it is in, 0 for none."""
+    """weight: characters that are no link's; article, section: numbers of the text and the element it is in, 0 for none."""
 
     text: str
     weight: int
     outside: bool
     article: int
     section: int
+    heading: bool
 
 
 def lines_of(page: str) -> list[Line]:
@@ -67,6 +72,7 @@ def lines_of(page: str) -> list[Line]:
     stack: list[_Open] = []
     pieces: list[str] = []
     linked = cores = boxes = 0
+    beside: dict[int, int] = {}  # the text of the articles right in a section
     at, n = 0, len(page)
 
     def flush() -> None:
@@ -75,7 +81,7 @@ def lines_of(page: str) -> list[Line]:
         if text:
             top = stack[-1] if stack else None
             outside = bool(top and top.outside)
-            out.append(Line(text, 0 if outside else max(0, len(text) - linked), outside, top.core if top else 0, top.box if top else 0))
+            out.append(Line(text, 0 if outside else max(0, len(text) - linked), outside, top.core if top else 0, top.box if top else 0, bool(top and top.heading)))
         pieces.clear()
         linked = 0
 
@@ -138,9 +144,15 @@ def lines_of(page: str) -> list[Line]:
         outside = bool(above and above.outside)
         core = above.core if above else 0
         if name in ("article", "main") and not outside:
-            if not core or name == "article":
-                cores += 1
-                core = cores
+            within = bool(above and above.article)
+            if name == "article" and (within or not core) or not core:
+                parent = above.box if above else 0
+                core = 0 if within or name == "main" else beside.get(parent, 0)
+                if not core:
+                    cores += 1
+                    core = cores
+                    if not within and name == "article":
+                        beside[parent] = core
         elif name not in ("body", "html") and not outside:
             outside = name in OUTSIDE and not (name == "header" and core) or bool(HIDDEN.search(tag))
             if not outside and "=" in tag:
@@ -149,7 +161,7 @@ def lines_of(page: str) -> list[Line]:
         if name in SECTION:
             boxes += 1
             box = boxes
-        stack.append(_Open(name, outside, name == "a" or bool(above and above.link), core, box))
+        stack.append(_Open(name, outside, name == "a" or bool(above and above.link), core, box, name in HEADINGS or bool(above and above.heading), name == "article" or bool(above and above.article)))
     flush()
     return out
 
@@ -173,10 +185,16 @@ def main_text(page: str | None, window: int = 3) -> str:
         elif not total and surge is not None:
             stretches.append((surge, i))
             surge = None
-    if articles:
-        stretches = [(0, len(lines))]
     if not stretches:
         return ""
+    if articles:
+        inside, follows = [total > 0 for total in sums], False
+        for i in range(len(lines) - 1, -1, -1):
+            if lines[i].heading and not lines[i].outside:
+                inside[i] = inside[i] or follows
+            elif not lines[i].outside:
+                follows = inside[i]
+        return "\n\n".join(x.text for x, own in zip(lines, inside, strict=True) if own and not x.outside)
     surge, dive = max(stretches, key=lambda s: sum(x.weight for x in lines[s[0] : s[1]]))
     section: dict[int, int] = {}
     for x in lines[surge:dive]:

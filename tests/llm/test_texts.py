@@ -189,6 +189,19 @@ def test_main_text_of_an_article():
     assert main_text(page) == "T & u\n\na\n\nonly link\n\ne f"
 
 
+def test_main_text_drops_runs_of_links_in_an_article():
+    links = "".join(f"<li><a href={i}>Another page {i}</a>" for i in range(6))
+    page = PAGE % f"<article><h1>Title</h1><p>First paragraph.</p><ul>{links}</ul><h2><a href=t>Part two</a></h2><section><p>Second paragraph.</p></section></article>"
+    assert main_text(page) == "Title\n\nFirst paragraph.\n\nAnother page 0\n\nPart two\n\nSecond paragraph."
+
+
+def test_main_text_of_parts():
+    page = PAGE % "<main><h1>Headline</h1><article><p>The first part.</p></article><article><p>The second, longer part.</p></article></main>"
+    assert main_text(page) == "Headline\n\nThe first part.\n\nThe second, longer part."
+    page = PAGE % "<div><article><p>The first part.</p></article><article><p>The second, longer part.<article><p>A reply.</p></article></article></div><section><article><p>Else</p></article></section>"
+    assert main_text(page) == "The first part.\n\nThe second, longer part."
+
+
 def test_main_text_by_surge_and_dive():
     page = PAGE % '<div class="content"><h1>Title</h1><p>First <i>para</i>graph, long enough.<div class="ad-box"><p>Buy</p><p>now</p><p>more</p></div><p>Second\n  paragraph &eacute;.</p></div>'
     assert main_text(page) == "Title\n\nFirst paragraph, long enough.\n\nSecond paragraph é."

@@ -179,6 +179,33 @@ def test_candidates_that_look_like_rule_spans_are_added(spark, documents):
     assert not any(r["n_added"] for r in found if r["doc_id"] % 4 in (2, 3))
 
 
+MASKED = ["jane.doe at example.com", "jane@example(dot)com", "jane@example [dot] com", "jane@example dot com", "jane at example dot com", "jane (at) example (dot) com"]
+
+
+def test_gates_let_every_candidate_through():
+    java = lambda p: p.replace("++", "+")
+    for text in [x for x in MASKED if re.search(java(pii.GENERATORS["email"]), x)]:
+        assert re.search(java(pii.NEEDS["email"]), text), text
+    assert sum(bool(re.search(java(pii.GENERATORS["email"]), x)) for x in MASKED) == len(MASKED)
+
+
+def test_masked_emails_and_national_phones_are_added(spark, documents):
+    rng = random.Random(14)
+    rows = []
+    for i in range(300):
+        number = f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+        rows.append((i, [f"we wrote to some.{i}@mail{i % 7}.example.com then", f"here +1 {number} was told", f"on 2024-{i % 12 + 1:02d}-11 we paid 12 {rng.randint(100, 999)} 77, look at noon. Then go"][i % 3]))
+    masked = [(1000 + i, f"so {x} it is") for i, x in enumerate(MASKED)]
+    phones = [(2000, "(555) 123-4567"), (2001, "then (555) 123-4567 again"), (2002, "or 555-123-4567 too")]
+    none = [(3000, "we look at noon. Then it is over"), (3001, "on 2024-03-11 we paid 12 345 77"), (3002, "visit us at example.com")]
+    found = {r["doc_id"]: r for r in pii.personal_data(spark, documents(rows + masked + phones + none)).collect()}
+    for doc, text in masked:
+        assert [x["found"] for x in found[doc]["found"] if x["kind"] == "email"] == [text[3:-6]], text
+    for doc, text in phones:
+        assert [x["found"] for x in found[doc]["found"] if x["kind"] == "phone"] == [re.search(r"\(?555.*[0-9]", text).group()], text
+    assert not any(found[doc]["n_added"] for doc, _ in none)
+
+
 def test_boosting_separates_and_calibrates():
     cells = [((d, s, 1, 0, 1, 1, 2), 50.0 if d > 8 else 1.0, 1.0 if d > 8 else 40.0) for d in range(4, 14) for s in range(3)]
     model = pii.boosted(cells)

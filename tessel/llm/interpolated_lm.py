@@ -5,7 +5,7 @@ A token's probability after the one before it is
     l2(b) * c(v w) / c(v) + l1(b) * c(w) / N + l0(b) / (V + 1)
 
 with maximum-likelihood estimates of two orders and a uniform one, and weights that depend on
-the bucket b of the context's frequency c(v): 0, 1, 2-3, 4-7 and so on. The weights are learned
+the bucket b of the context's frequency c(v): 0, 1, 2-3, 4-7 and so on to the number of all tokens. The weights are learned
 by expectation-maximisation: a tenth of the documents that train (crc32 remainder 1) is
 deleted from the counts and explained by the counts of the rest. Scores then use the
 counts of all training documents.
@@ -34,7 +34,6 @@ from .common import Scratch, partitions, runs, utf8
 from .words import SPACED, U, mix, rows_of, words
 
 END = U(0x5851F42D4C957F2D)
-CONTEXTS = 16
 ASK = "bucket int, chunk int, n bigint, keys binary, core binary, deleted binary"
 ANSWER = "chunk int, bucket int, core binary, deleted binary, tokens bigint, types bigint"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -117,7 +116,12 @@ class Chunk:
 
 def contexts(count: np.ndarray) -> np.ndarray:
     """The bucket of each context frequency."""
-    return np.minimum(np.ceil(np.log2(count + 1)).astype(np.int64), CONTEXTS - 1)
+    return np.ceil(np.log2(count + 1)).astype(np.int64)
+
+
+def n_contexts(tokens: int) -> int:
+    """Buckets for contexts of any frequency in so many tokens."""
+    return int(contexts(np.array([tokens]))[0]) + 1
 
 
 def _ask(buckets: int):
@@ -181,7 +185,7 @@ def _held(buckets: int):
 
 
 def _score(buckets: int, tokens: int, types: int, weights: dict[int, tuple[float, float, float]]):
-    table = np.array([weights[b] for b in range(CONTEXTS)])
+    table = np.array([weights[b] for b in range(n_contexts(tokens))])
 
     def run(key, docs, answers):
         chunk = Chunk(docs, buckets)
@@ -210,10 +214,10 @@ def _score(buckets: int, tokens: int, types: int, weights: dict[int, tuple[float
 
 def fit_weights(held: DataFrame, tokens: int, types: int, *, steps: int = 20, close: float = 1e-4) -> dict[int, tuple[float, float, float]]:
     """Weights (pair, word, uniform) of each context bucket by EM over held(b, vw, v, w, n)."""
-    weights = {b: (0.0, 0.9, 0.1) if b == 0 else (0.3, 0.6, 0.1) for b in range(CONTEXTS)}
+    weights = {b: (0.0, 0.9, 0.1) if b == 0 else (0.3, 0.6, 0.1) for b in range(n_contexts(tokens))}
 
     def of(i: int) -> Column:
-        return F.element_at(F.array(*(F.lit(float(weights[b][i])) for b in range(CONTEXTS))), F.col("b") + 1)
+        return F.element_at(F.array(*(F.lit(float(weights[b][i])) for b in range(n_contexts(tokens)))), F.col("b") + 1)
 
     for _ in range(steps):
         parts = [of(0) * F.col("vw") / F.greatest("v", F.lit(1)), of(1) * F.col("w") / max(tokens, 1), of(2) / (types + 1)]

@@ -9,7 +9,7 @@ import numpy as np
 
 from tessel.llm import pii
 from tessel.llm.importance import importance_sample, kth_largest
-from tessel.llm.interpolated_lm import fit_weights, interpolated_scores
+from tessel.llm.interpolated_lm import contexts, fit_weights, interpolated_scores
 
 
 def _labelled(spark, documents, n=600):
@@ -134,6 +134,13 @@ def test_weights_are_probabilities_and_raise_the_likelihood(spark):
     assert loss(weights) > loss(start)
 
 
+def test_context_buckets_have_no_cap(spark):
+    assert contexts(np.array([0, 1, 2, 3, 4, 16_383, 16_384, 32_767, 32_768, 1 << 33])).tolist() == [0, 1, 2, 2, 3, 14, 15, 15, 16, 34]
+    rows = [(15, 9000, 20_000, 30, 50), (17, 3, 100_000, 60_000, 70), (34, 5, 1 << 33, 1 << 32, 90)]
+    weights = fit_weights(spark.createDataFrame(rows, "b int, vw long, v long, w long, n long"), 1 << 34, 1000)
+    assert set(weights) == set(range(36)) and len({weights[b] for b in (15, 17, 34)}) == 3
+
+
 def _luhn(digits):
     return sum(int(c) * (1 + i % 2) - 9 * (int(c) * (1 + i % 2) > 9) for i, c in enumerate(reversed(digits))) % 10 == 0
 

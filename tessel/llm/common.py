@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -103,6 +103,64 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             yield batch.slice(a, b - a)
 
 
+class WordIds:
+    """Ids of words as a vocabulary's own encoder gives them, which sees each distinct word once while the table holds it.
+
+    The table is emptied at `most` words, so a worker's memory stays bounded.
+    """
+
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 600_000):
+        self.encode_words, self.most = encode_words, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.begin, self.count, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32), 0
+
+    def _learn(self, fresh: list[str]) -> None:
+        flat, count = self.encode_words(fresh)
+        n, m = len(self.place), len(self.place) + len(fresh)
+        if m > len(self.begin):
+            self.begin, self.count = (np.concatenate([x, np.zeros(max(m, len(x)), np.int64)]) for x in (self.begin, self.count))
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(flat), len(self.flat)), np.int32)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.count[n:m], self.begin[n:m] = count, self.used + np.cumsum(count) - count
+        self.used += len(flat)
+        self.place.update(zip(fresh, range(n, m), strict=True))
+
+    def of(self, words: pa.Array, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of rows of words, and the number of each row's ids; offs: where each row's words begin (one more than rows)."""
+        if not len(words):
+            return np.zeros(0, np.int32), np.zeros(len(offs) - 1, np.int64)
+        coded = words.dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        if len(self.place) + len(own) > self.most:
+            self._clear()
+        get = self.place.get
+        slot = np.array([get(w, -1) for w in own], np.int64)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            at = len(self.place)
+            self._learn([own[i] for i in new.tolist()])
+            slot[new] = np.arange(at, at + len(new))
+        slot = slot[coded.indices.to_numpy(zero_copy_only=False)]
+        count = self.count[slot]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        return self.flat[np.repeat(self.begin[slot] - ends[:-1], count) + np.arange(ends[-1])], np.diff(ends[offs])
+
+
+def input_bytes(docs: DataFrame) -> int:
+    """What the optimizer takes a plan's size to be: of tables that are read, the bytes of their files."""
+    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def tasks_for(spark: SparkSession, docs: DataFrame, each: int, most: int = 1 << 17) -> int:
+    """Tasks of about `each` bytes of files; not fewer than the shuffle partitions, nor more than `most` (an unknown size is taken as endless)."""
+    size = input_bytes(docs)
+    return max(partitions(spark), -(-size // each) if size < 1 << 50 else 0) if size // each < most else most
+
+
 def binary(chunks: list[bytes]) -> pa.Array:
     return pa.array(chunks, pa.binary())
 

@@ -1,13 +1,13 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi pass.
 
-A text is marked (spaces become U+2581, one is put in front) and cut before each mark that
-follows another character; no piece of such a vocabulary reaches over that place, which is checked
-when the model is loaded. The distinct words of a batch are sorted, which lays out their trie, and
-the trie is walked depth-first: a word keeps the forward states of the prefix it shares with the
-word before it and computes only the rest.
+A text is marked (spaces become U+2581, one is put in front) and cut between each two characters
+that stand side by side in no piece of the vocabulary, so no path reaches over a cut. The distinct
+words between cuts are sorted, which lays out their trie, and the trie is walked depth-first: a
+word keeps the forward states of the prefix it shares with the word before it and computes only
+the rest.
 
 A forward state is the last piece of the best path to a prefix. For a unigram model that
-is the path with the highest sum of scores. For a model of merges (the public vocabulary is one)
+is the path with the highest sum of scores, which is part of the state. For a model of merges (the public vocabulary is one)
 scores are ranks of merges, and their sum would give other pieces than the library does; there
 a path is allowed if each two neighbouring pieces stay apart when merged alone, which leaves
 exactly one path for each prefix, the one that merging makes. Characters without a
@@ -19,7 +19,6 @@ reported as often. U+2581 in a text decodes to a space, as with the library; `ex
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,11 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lists, slices, tokenizer_path
+from .common import WordIds, lists, slices, tokenizer_path, utf8
 
 MARK = "▁"
-WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-MOST = 600_000
+SPACE = 32
 
 
 class Pieces:
@@ -56,15 +54,25 @@ class Pieces:
             elif not (own.is_control(i) or own.is_unknown(i) or own.is_unused(i)):
                 self.id[piece], self.score[piece] = i, own.get_score(i)
                 self.raw[i] = piece.replace(MARK, " ").encode()
-        if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id):
-            raise ValueError("a piece of this vocabulary reaches over the start of a word")
+        self.size = np.array([len(r) for r in self.raw], np.int64)
+        self.begin, self.bytes = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(self.raw), np.uint8)
+        #: Which characters stand side by side in a piece; a character in no such pair is of kind 0.
+        pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
+        kinds = {c: i for i, c in enumerate(sorted({c for pair in pairs for c in pair}), 1)}
+        self.kind_of = np.zeros(0x110000, np.uint16)
+        for c, i in kinds.items():
+            self.kind_of[ord(c)] = i
+        self.kind_of[SPACE] = self.kind_of[ord(MARK)]
+        self.joined = np.zeros((len(kinds) + 1, len(kinds) + 1), bool)
+        for a, b in pairs:
+            self.joined[kinds[a], kinds[b]] = True
         #: The longest piece by its last three characters: most places need not try long ones.
         self.longest: dict[str, int] = {}
         for p in self.id:
             self.longest[p[-3:]] = max(self.longest.get(p[-3:], 0), len(p))
         self.least = min(self.score.values(), default=0.0)
         self.apart: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.table = WordIds(self._words)
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging makes of a text: the best-scored neighbours join first, of equals the leftmost."""
@@ -102,7 +110,9 @@ class Pieces:
                 if a != b:
                     break
                 shared += 1
-            del length[shared + 1 :], last[shared + 1 :], total[shared + 1 :]
+            del length[shared + 1 :], last[shared + 1 :]
+            if unigram:
+                del total[shared + 1 :]
             for end in range(shared + 1, n + 1):
                 chosen, step = None, 1
                 most = longest(word[end - 3 : end], 2) if end > 2 else end
@@ -137,7 +147,6 @@ class Pieces:
                                 break
                     if chosen is None:
                         chosen = word[end - 1]
-                    total.append(0.0)
                 last.append(chosen)
                 length.append(step)
             out, at = [], n
@@ -148,37 +157,51 @@ class Pieces:
             yield out
             before = word
 
-    def _learn(self, fresh: list[str]) -> None:
-        marked = sorted((w if w[:1] == MARK else MARK + w, w) for w in fresh)
-        ids = self.id
-        for (_, word), pieces in zip(marked, self.segment([m for m, _ in marked]), strict=True):
-            own: list[int] = []
-            for p in pieces:
-                i = ids.get(p)
-                if i is None:
-                    own += [self.byte_ids[b] for b in p.encode()]
-                else:
-                    own.append(i)
-            self.known[word] = np.array(own, np.int32).tobytes()
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of words, and the number of each one's."""
+        marked = [w.replace(" ", MARK) for w in words]
+        order = sorted(range(len(words)), key=marked.__getitem__)
+        get, own = self.id.get, [()] * len(words)
+        for i, pieces in zip(order, self.segment([marked[i] for i in order]), strict=True):
+            ids = [get(p) for p in pieces]
+            if None in ids:
+                ids = [x for p, i in zip(pieces, ids, strict=True) for x in ((i,) if i is not None else map(self.byte_ids.__getitem__, p.encode()))]
+            own[i] = ids
+        return np.fromiter((x for ids in own for x in ids), np.int32), np.fromiter(map(len, own), np.int64, len(own))
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids of all texts, the number of each one's, and whether they decode to the text."""
+        flat, offs = utf8(texts)
+        some = np.diff(offs) > 0
+        if not some.any():
+            return np.zeros(0, np.int32), np.zeros(len(some), np.int64), np.ones(len(some), bool)
+        flat = np.insert(flat, offs[:-1][some], SPACE)
+        offs = offs + np.concatenate([[0], np.cumsum(some)])
+        at = np.flatnonzero((flat & 0xC0) != 0x80)  # of characters
+        kinds = self.kind_of[np.frombuffer(flat.tobytes().decode().encode("utf-32-le"), np.uint32)]
+        cut = np.ones(len(at), bool)
+        cut[1:] = ~self.joined[kinds[:-1], kinds[1:]]
+        cut[np.searchsorted(at, offs[:-1][some])] = True
+        begin = at[cut]
+        offsets = np.concatenate([begin, [len(flat)]]).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(flat))
+        ids, count = self.table.of(words, np.searchsorted(begin, offs))
+        # decoded all at once and held against the bytes that came
+        size, ends = self.size[ids], np.concatenate([[0], np.cumsum(count)])
+        made = np.concatenate([[0], np.cumsum(size)])
+        back = self.bytes[np.repeat(self.begin[ids] - made[:-1], size) + np.arange(made[-1])]
+        length, want = np.diff(made[ends]), np.diff(offs)
+        exact = length == want
+        wrong = np.flatnonzero(back[np.repeat(exact, length)] != flat[np.repeat(exact, want)])
+        if len(wrong):
+            exact[np.flatnonzero(exact)[np.unique(np.searchsorted(np.cumsum(want[exact]), wrong, "right"))]] = False
+        return ids, count, exact
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed 32-bit ids of each text."""
-        if len(self.known) > MOST:
-            self.known.clear()
-        known = self.known
-        split, fresh = [], set()
-        for t in texts:
-            if not t:
-                words = []
-            elif MARK in t or "  " in t or t[0] == " " or t[-1] == " ":
-                words = WORD.findall(MARK + t.replace(" ", MARK))
-            else:
-                words = t.split(" ")  # the keys of such words have no mark, which is the same for all
-            split.append(words)
-            fresh.update(set(words).difference(known))
-        if fresh:
-            self._learn(list(fresh))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        ids, count, _ = self.flat(pa.array(texts, pa.string()))
+        packed, ends = ids.tobytes(), 4 * np.cumsum(count)
+        return [packed[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids.tolist()))
@@ -194,15 +217,8 @@ def vocabulary(path: str, kind: str = "bpe") -> Pieces:
 def _encode(path: str, kind: str, text: str, names: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(path, kind)
-        for batch in slices(batches, text, 2 << 20):
-            texts = batch.column(text).to_pylist()
-            packed = pieces.encode(texts)
-            ids = np.frombuffer(b"".join(packed), np.int32)
-            count = np.array([len(p) // 4 for p in packed], np.int64)
-            decoded, at = [], np.concatenate([[0], np.cumsum(count)])
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                decoded.append(pieces.decode(ids[a:b]))
-            exact = [d == (t or "") for d, t in zip(decoded, texts, strict=True)]
+        for batch in slices(batches, text, 4 << 20):
+            ids, count, exact = pieces.flat(batch.column(text))
             more = (lists(ids, count, pa.int32()), pa.array(count, pa.int64()), pa.array(exact))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
 

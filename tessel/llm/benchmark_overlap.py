@@ -9,29 +9,39 @@ it is found by the hash of its first min(k, words) words at every place of a doc
 compared whole.
 
 The item side travels to the tasks in blocks of at most `block_words` words, a
-bound checked by a running sum over the items; a larger benchmark takes more blocks, each
-against all documents, and the blocks' hits are united. No document row is shuffled.
+bound checked by a running sum over the items. With one block no document row is shuffled.
+A larger benchmark takes more blocks, each against all documents: these are numbered and
+written once, and the hits of later blocks join by that number the rows of the first.
 
-Nulls: a null text has no words. An item without words is never found. Repeated rows are
-reported as often as they occur. Other columns of both tables are not read.
+Words are compared by 64-bit hashes until a place of a span is found; there the words
+themselves are compared, so no hit rests on a hash.
+
+Nulls: a null text has no words. An item without words is never found. Repeated documents are
+reported as often as they occur. Items that share an id count as one item, and so do those
+without an id, which are null in `items` and not in the digest. Other columns of both
+tables are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
-from .words import ALNUM, U, grams, rows_of, words
+from .common import Scratch, slices, utf8
+from .words import ALNUM, grams, rows_of, words
 
 K, WINDOW = 5, 10
 BLOCK_WORDS = 1_000_000
-HITS = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<bigint>, spans array<struct<begin:bigint,end:bigint>>"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+HITS = "row bigint, doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<bigint>, spans array<struct<begin:bigint,end:bigint>>"
 
 
 def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
@@ -45,12 +55,11 @@ def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
 class ItemIndex:
     """Words of all items of a block, the fingerprints of long ones and the openings of short ones, sorted by hash."""
 
-    def __init__(self, ids: list[int], texts: list[str], k: int = K, window: int = WINDOW):
-        self.k, self.window = k, window
+    def __init__(self, ids: list[int | None], texts: list[str], k: int = K, window: int = WINDOW):
+        self.k, self.window, self.texts, self.split = k, window, texts, {}
         flat, offs = utf8(pa.array(texts, pa.large_string()))
         self.words, self.begin = words(flat, offs, ALNUM)
-        self.ids = np.array([-1 if x is None else x for x in ids], np.int64)
-        self.named = np.array([x is not None for x in ids], bool)
+        self.ids = ids
         every, at = grams(self.words, k), []
         count = np.diff(self.begin)
         for item in np.flatnonzero(count >= window):
@@ -68,8 +77,13 @@ class ItemIndex:
                 order = np.argsort(whole, kind="stable")
                 self.short[size] = (whole[order], own[order])
 
-    def hits(self, doc: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """Items (by number) with a window in a document's words, and the spans [begin, end) that windows cover."""
+    def item_words(self, item: int) -> list[str]:
+        if item not in self.split:
+            self.split[item] = words_of(self.texts[item])
+        return self.split[item]
+
+    def hits(self, doc: np.ndarray, said: Callable[[], list[str]]) -> tuple[set[int], list[tuple[int, int]]]:
+        """Items (by number) with a window in a document, and the spans [begin, end) that windows cover; said: the document's words."""
         spans: set[tuple[int, int]] = set()
         items: set[int] = set()
         k, w = self.k, self.window
@@ -91,17 +105,39 @@ class ItemIndex:
                     diff = np.flatnonzero(doc[p : p + ahead] != self.words[q : q + ahead])
                     right = int(diff[0]) if len(diff) else ahead
                     seen[(item, q - p)] = p + right
-                    if left + right >= w:
-                        spans.add((p - left, p + right))
-                        items.add(item)
+                    for x, y in equal_runs(said()[p - left : p + right], self.item_words(item)[q - left - b0 : q + right - b0]) if left + right >= w else ():
+                        if y - x >= w:
+                            spans.add((p - left + x, p - left + y))
+                            items.add(item)
         for size, (keys, own) in self.short.items():
             if len(doc) >= size:
                 every = grams(doc, size)
                 lo, hi = np.searchsorted(keys, every, "left"), np.searchsorted(keys, every, "right")
                 for p in np.flatnonzero(hi > lo).tolist():
-                    spans.add((p, p + size))
-                    items.update(own[lo[p] : hi[p]].tolist())
-        return np.array(sorted(items), np.int64), sorted(spans)
+                    for item in own[lo[p] : hi[p]].tolist():
+                        if item in items and (p, p + size) in spans:
+                            continue
+                        if said()[p : p + size] == self.item_words(item):
+                            spans.add((p, p + size))
+                            items.add(item)
+        return items, sorted(spans)
+
+
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def equal_runs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """The stretches over which two lists are equal: one, unless hashes of different words met."""
+    if a == b:
+        return [(0, len(a))]
+    out, begin = [], 0
+    for i in range(len(a) + 1):
+        if i == len(a) or a[i] != b[i]:
+            if i > begin:
+                out.append((begin, i))
+            begin = i + 1
+    return out
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -115,27 +151,39 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _result(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    """From (row, doc_id, number of words, items, spans)."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
+    names = ["row", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"]
+    out = []
+    for row, doc, n, items, spans in rows:
+        spans = united(spans)
+        hit = sum(e - b for b, e in spans)
+        named = sorted((x for x in items if x is not None), key=str)
+        digest = hashlib.sha256(",".join(map(str, named)).encode()).hexdigest()
+        out.append((row, doc, n, hit, len(items), digest, hit > 0, named + [None] * (None in items), [{"begin": b, "end": e} for b, e in spans]))
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
-def _scan(index, load):
+def _scan(index, load, all_rows: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[ItemIndex] = [load(index.value)]
+        own: ItemIndex = load(index.value)
         for batch in slices(batches, "text"):
-            flat, offs = utf8(batch.column("text"))
-            hashes, begin = words(flat, offs, ALNUM)
-            rows = []
-            may = _candidates(hashes, begin, held[0])
-            for r, doc in enumerate(batch.column("id").to_pylist()):
-                own = hashes[begin[r] : begin[r + 1]]
-                items, spans = held[0].hits(own) if may[r] else (np.zeros(0, np.int64), [])
-                spans = united(spans)
-                ids = sorted({int(x) for x in held[0].ids[items][held[0].named[items]]}, key=str)
-                hit = sum(e - b for b, e in spans)
-                digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-                rows.append((doc, len(own), hit, len(items), digest, hit > 0, ids, [{"begin": b, "end": e} for b, e in spans]))
+            texts = batch.column("text")
+            hashes, begin = words(*utf8(texts), ALNUM)
+            may, rows = _candidates(hashes, begin, own), []
+            for r, (row, doc) in enumerate(zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), strict=True)):
+                items, spans = set(), []
+                if may[r]:
+                    held: list[list[str]] = []
+
+                    def said(r=r, held=held) -> list[str]:
+                        if not held:
+                            held.append(words_of(texts[r].as_py()))
+                        return held[0]
+
+                    items, spans = own.hits(hashes[begin[r] : begin[r + 1]], said)
+                if spans or all_rows:
+                    rows.append((row, doc, int(begin[r + 1] - begin[r]), {own.ids[i] for i in items}, spans))
             if rows:
                 yield _result(rows)
 
@@ -159,7 +207,7 @@ def benchmark_overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
     """One row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items and the word spans that are hit."""
     if not 0 < k <= window:
         raise ValueError("k must be at least 1 and at most the window")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
 
     def load(packed):
@@ -177,27 +225,30 @@ def benchmark_overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
             held += size
         yield ids, texts
 
-    found = [source.mapInArrow(_scan(spark.sparkContext.broadcast(block), load), HITS) for block in blocks()]
-    if len(found) == 1:
-        return found[0]
-    return _unite(found)
+    ahead = blocks()
+    first, second = next(ahead), next(ahead, None)
+    if second is None:
+        return source.mapInArrow(_scan(spark.sparkContext.broadcast(first), load, True), HITS).drop("row")
+    scratch = Scratch(spark, "overlap")
+    source = scratch.table("numbered", source)  # the same numbers for every block, however the rows come
+    found = scratch.table("block-0", source.mapInArrow(_scan(spark.sparkContext.broadcast(first), load, True), HITS))
+    more = None
+    for i, block in enumerate(chain([second], ahead), 1):
+        own = scratch.table(f"block-{i}", source.mapInArrow(_scan(spark.sparkContext.broadcast(block), load, False), HITS))
+        more = own if more is None else more.unionByName(own)
+    scratch.drop("numbered")
+    return _unite(found, more).drop("row")
 
 
-def _unite(found: list[DataFrame]) -> DataFrame:
-    """The hits of several benchmark blocks, joined by document; repeated documents keep their number of rows."""
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-
-    blocks = len(found)
+def _unite(found: DataFrame, more: DataFrame) -> DataFrame:
+    """All rows with the hits of the first block, and the rows that later blocks hit: each row with the hits of all blocks."""
 
     def run(key, table):
         rows = table.to_pylist()
-        first, copies = rows[0], len(rows) // blocks
-        ids = sorted({x for r in rows for x in r["items"]}, key=str)
-        spans = united(sorted({(s["begin"], s["end"]) for r in rows for s in r["spans"]}))
-        hit = sum(e - b for b, e in spans)
-        one = (first["doc_id"], first["n_words"], hit, sum(r["n_items"] for r in rows) // copies, hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hit > 0, ids, [{"begin": b, "end": e} for b, e in spans])
-        return pa.Table.from_batches([_result([one] * copies)])
+        items = {x for r in rows for x in r["items"]}
+        spans = sorted({(s["begin"], s["end"]) for r in rows for s in r["spans"]})
+        return pa.Table.from_batches([_result([(rows[0]["row"], rows[0]["doc_id"], rows[0]["n_words"], items, spans)])])
 
-    return every.groupBy("doc_id", "n_words").applyInArrow(run, HITS)
+    touched = more.select("row").distinct()
+    again = found.join(touched, "row", "left_semi").unionByName(more).groupBy("row").applyInArrow(run, HITS)  # a row for each block
+    return found.join(touched, "row", "left_anti").unionByName(again)

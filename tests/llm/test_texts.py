@@ -81,7 +81,21 @@ def test_overlap_without_items_or_documents(spark, documents):
     assert [r["contaminated"] for r in benchmark_overlap(spark, documents([(1, "a b")]), none).collect()] == [False]
     assert benchmark_overlap(spark, documents([]), none).collect() == []
     assert united([(0, 3), (2, 5), (7, 9)]) == [(0, 5), (7, 9)]
-    assert ItemIndex([], []).hits(np.zeros(0, np.uint64))[1] == []
+    assert ItemIndex([], []).hits(np.zeros(0, np.uint64), list)[1] == []
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 5])
+def test_overlap_of_repeated_and_null_ids(spark, documents, block_words):
+    """Different texts under one id or none, and items that share an id or have none."""
+    a, b, c, d = ("{0}1 {0}2 {0}3 {0}4 {0}5 {0}6 {0}7 {0}8 {0}9 {0}10 {0}11 {0}12".format(x) for x in "abcd")
+    items = [(5, a), (5, b), (None, c), (None, "d1 d2 d3"), (7, "d12")]
+    rows = [(1, a), (1, b), (1, "no words of any item at all here now or ever x"), (None, a), (None, d), (None, c + " " + b), (2, None), (2, a + " " + b), (2, c + " " + d), (1, a)]
+    found = benchmark_overlap(spark, documents(rows), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items"]) for r in found.collect()), key=str)
+    want = [(1, 12, 12, 1, [5]), (1, 12, 12, 1, [5]), (1, 12, 0, 0, []), (None, 12, 12, 1, [5]), (None, 12, 4, 2, [7, None]), (None, 24, 24, 2, [5, None]), (2, 0, 0, 0, []), (2, 24, 24, 1, [5]), (2, 24, 16, 2, [7, None]), (1, 12, 12, 1, [5])]
+    assert got == sorted(want, key=str)
+    digest = {r["items_sha256"] for r in found.collect() if r["items"] == [7, None]}
+    assert digest == {hashlib.sha256(b"7").hexdigest()}
 
 
 @settings(max_examples=80, deadline=None)
@@ -90,6 +104,7 @@ def test_elias_fano_round_trip(values):
     own, at = EliasFano.load(memoryview(raw := EliasFano.of(np.array(values, np.uint64)).dump()), 0)
     assert own.all().tolist() == values and at == len(raw)
     assert [own.select(i) for i in range(0, len(values), 7)] == values[::7]
+    assert all(own.between(a, b).tolist() == values[a:b] for a in range(0, len(values), 90) for b in (a + 1, a + 77, len(values)) if b <= len(values))
 
 
 def test_elias_fano_is_small():
@@ -104,7 +119,9 @@ def test_encoder_equals_the_library():
     own, whole = Encoder(path), Tokenizer.from_file(path)
     texts = ["", None, " a¤b <|endoftext|> x", "J̌ İx ΑΣ. it's we'll 12,5.. a.b, é.́, \x1cx\x85y​z q", "汉字,。,. ...,., a,,", "x" * 20_000, "Élan ÉLAN éLAN. (Straße) étude"]
     rng = random.Random(6)
+    texts += ["<|ENDOFTEXT|> <|EndOfText|> <|STARTOFTEXT|> <|startoftext|> x<|endoftext|>y. <|ENDOFTEXT|>.", "क़. क़क़,, ﬁ. Ǆ! ŉ a.' b.'s can't. DON'T, x\u200by. \u0301a. é. ª² 五5五", "a. b. c.'re d!? e," * 50]
     texts += ["".join(rng.choice("abE .,'é漢1¤<|>\x1f") for _ in range(40)) for _ in range(500)]
+    texts += ["".join(rng.choice("ab'stre!?. क़é१") for _ in range(40)) for _ in range(500)]
     for text, ids in zip(texts, own.encode(texts), strict=True):
         assert np.frombuffer(ids, own.kind).tolist() == whole.encode(text or "", add_special_tokens=False).ids
 
@@ -124,6 +141,13 @@ def test_token_files_against_the_library(spark, documents, file_ids):
         start += len(ids)
 
 
+def test_token_files_of_repeated_and_null_ids(spark, documents):
+    rows = [(None, f"null {i}") for i in range(40)] + [(5, f"five {i}") for i in range(40)] + [(6, None)]
+    got = token_files(spark, documents(rows).repartition(7), "word_bpe_49k.json", file_ids=30).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [d for d, _ in rows]
+    assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:i]) for i in range(len(got))]
+
+
 def test_token_files_of_an_empty_table(spark, documents):
     assert token_files(spark, documents([]), "word_bpe_49k.json").collect() == []
 
@@ -149,6 +173,40 @@ def test_unigram_paths_have_the_best_score():
         assert "".join(pieces) == word and abs(sum(own.score[p] for p in pieces) - best(word)) < 1e-6
 
 
+def _plain_viterbi(own, word):
+    best = [(0.0, [])]
+    for end in range(1, len(word) + 1):
+        found = [(best[a][0] + own.score[word[a:end]], [*best[a][1], word[a:end]]) for a in range(end) if word[a:end] in own.score]
+        best.append(max(found, key=lambda x: x[0]) if found else (best[end - 1][0] + own.least - 10.0, [*best[end - 1][1], word[end - 1]]))
+    return best[-1]
+
+
+def test_unigram_paths_of_real_texts(spark):
+    """Whole words of a table, prefixes shared, against a plain pass for each word."""
+    own = Pieces(public_tokenizers.path("piece_bpe_32k.model"), "unigram")
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()][:60]
+    words = sorted({"▁" + w for t in texts for w in t.split()})
+    assert len(words) > 500
+    value = lambda parts: sum(own.score.get(p, own.least - 10.0) for p in parts)
+    for word, pieces in zip(words, own.segment(words), strict=True):
+        assert "".join(pieces) == word and abs(value(pieces) - _plain_viterbi(own, word)[0]) < 1e-6, word
+
+
+def test_pieces_of_whole_texts_without_spaces():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, whole = Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("aeinrst.\n") for _ in range(4000)), "ab" * 3000, "漢字" * 2000, "a" * 1_000_000, " " * 3000, "▁" * 50 + " x"]
+    ids, count, exact = own.flat(pa.array([*texts, None, ""]))
+    assert count[-2:].tolist() == [0, 0] and exact.tolist() == [True] * 5 + [False] + [True] * 2
+    at = 0
+    for text, n in zip(texts[:3] + texts[4:], np.delete(count, 3), strict=False):
+        at = int(count[: (texts.index(text))].sum())
+        assert ids[at : at + n].tolist() == whole.encode(text)
+
+
 def _splits(word):
     yield [word]
     for i in range(1, len(word)):

@@ -1,19 +1,20 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element. A line's weight is its length
-without link text; lines under menus, headers, footers, sidebars, notices, adverts, forms
-and comments weigh nothing. Weights are summed over sliding windows of `window` lines; the text
-surges where such a sum rises from nothing and dives where it falls back to nothing. The
-heaviest stretch between a surge and its dive is kept, and with it those stretches that
-have lines of its section, so an advert of many lines does not cut an article. Where
-a page marks article or main elements, only the lines of the heaviest one take part: a main
-element with the articles in it, or articles that stand side by side in one section, as parts of one
-text; an article within an article is another text. There every stretch from a surge to its dive is
-kept, with a heading right before it, and what lies between (runs of links) is not.
+without link text. Tags only feed the weights: lines under menus, headers, footers, sidebars,
+notices, adverts, forms and comments (an article within an article is one) weigh nothing, and where
+a page marks article or main elements, so do lines outside of them. Weights are summed over
+sliding windows of `window` lines of the whole page; the text surges where such a sum rises from
+nothing and dives where it falls back to nothing, and lines between surge and dive are kept.
+
+Where article or main elements are marked, every such stretch is kept, whichever of them it is
+in, with a heading right before it; what lies between (runs of links) is not. Elsewhere the
+heaviest stretch is kept, and with it those that have lines of its section, so an
+advert of many lines does not cut an article. Of equally heavy stretches or sections the first is taken.
 
 Nulls: a null or empty page has no text. Unclosed and stray tags are met with the
 usual rules (a block opens a new line; an end tag closes what it names, if it is open).
-Repeated rows are reported as often; other columns are not read.
+Repeated rows are reported as often; other columns are not read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -51,17 +52,17 @@ HIDDEN = re.compile(r"\shidden(?:[\s>=/]|$)|aria-hidden\s*=\s*[\"']?true|display
 class _Open:
     __slots__ = ("name", "outside", "link", "core", "box", "heading", "article")
 
-    def __init__(self, name: str, outside: bool, link: bool, core: int, box: int, heading: bool, article: bool):
+    def __init__(self, name: str, outside: bool, link: bool, core: bool, box: int, heading: bool, article: bool):
         self.name, self.outside, self.link, self.core, self.box, self.heading, self.article = name, outside, link, core, box, heading, article
 
 
 class Line(NamedTuple):
-    """weight: characters that are no link's; article, section: numbers of the text and the element it is in, 0 for none."""
+    """weight: characters that are no link's; article: in an article or main element; section: number of the element it is in, 0 for none."""
 
     text: str
     weight: int
     outside: bool
-    article: int
+    article: bool
     section: int
     heading: bool
 
@@ -71,8 +72,7 @@ def lines_of(page: str) -> list[Line]:
     out: list[Line] = []
     stack: list[_Open] = []
     pieces: list[str] = []
-    linked = cores = boxes = 0
-    beside: dict[int, int] = {}  # the text of the articles right in a section
+    linked = boxes = 0
     at, n = 0, len(page)
 
     def flush() -> None:
@@ -81,7 +81,7 @@ def lines_of(page: str) -> list[Line]:
         if text:
             top = stack[-1] if stack else None
             outside = bool(top and top.outside)
-            out.append(Line(text, 0 if outside else max(0, len(text) - linked), outside, top.core if top else 0, top.box if top else 0, bool(top and top.heading)))
+            out.append(Line(text, 0 if outside else max(0, len(text) - linked), outside, bool(top and top.core), top.box if top else 0, bool(top and top.heading)))
         pieces.clear()
         linked = 0
 
@@ -142,17 +142,9 @@ def lines_of(page: str) -> list[Line]:
                     break
         above = stack[-1] if stack else None
         outside = bool(above and above.outside)
-        core = above.core if above else 0
+        core = bool(above and above.core)
         if name in ("article", "main") and not outside:
-            within = bool(above and above.article)
-            if name == "article" and (within or not core) or not core:
-                parent = above.box if above else 0
-                core = 0 if within or name == "main" else beside.get(parent, 0)
-                if not core:
-                    cores += 1
-                    core = cores
-                    if not within and name == "article":
-                        beside[parent] = core
+            core, outside = True, name == "article" and bool(above and above.article)
         elif name not in ("body", "html") and not outside:
             outside = name in OUTSIDE and not (name == "header" and core) or bool(HIDDEN.search(tag))
             if not outside and "=" in tag:
@@ -166,18 +158,17 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
+def window_sums(weights: list[int], window: int) -> list[int]:
+    """The sum of weights over the window around each line."""
+    half = window // 2
+    return [sum(weights[max(0, i - half) : i + half + 1]) for i in range(len(weights))]
+
+
 def main_text(page: str | None, window: int = 3) -> str:
     """The blocks of the main text, joined by a blank line."""
     lines = lines_of(page) if page else []
-    articles: dict[int, int] = {}
-    for x in lines:
-        if x.article and not x.outside:
-            articles[x.article] = articles.get(x.article, 0) + x.weight
-    if articles:
-        best = max(articles, key=lambda c: (articles[c], -c))
-        lines = [x for x in lines if x.article == best]
-    half = window // 2
-    sums = [sum(x.weight for x in lines[max(0, i - half) : i + half + 1]) for i in range(len(lines))]
+    marked = any(x.article and not x.outside for x in lines)
+    sums = window_sums([x.weight if x.article or not marked else 0 for x in lines], window)
     stretches, surge = [], None
     for i, total in enumerate([*sums, 0]):
         if total and surge is None:
@@ -185,16 +176,16 @@ def main_text(page: str | None, window: int = 3) -> str:
         elif not total and surge is not None:
             stretches.append((surge, i))
             surge = None
-    if not stretches:
-        return ""
-    if articles:
+    if marked:
         inside, follows = [total > 0 for total in sums], False
         for i in range(len(lines) - 1, -1, -1):
             if lines[i].heading and not lines[i].outside:
                 inside[i] = inside[i] or follows
             elif not lines[i].outside:
                 follows = inside[i]
-        return "\n\n".join(x.text for x, own in zip(lines, inside, strict=True) if own and not x.outside)
+        return "\n\n".join(x.text for x, own in zip(lines, inside, strict=True) if own and x.article and not x.outside)
+    if not stretches:
+        return ""
     surge, dive = max(stretches, key=lambda s: sum(x.weight for x in lines[s[0] : s[1]]))
     section: dict[int, int] = {}
     for x in lines[surge:dive]:

@@ -257,7 +257,7 @@ def test_main_text_of_parts():
     page = PAGE % "<main><h1>Headline</h1><article><p>The first part.</p></article><article><p>The second, longer part.</p></article></main>"
     assert main_text(page) == "Headline\n\nThe first part.\n\nThe second, longer part."
     page = PAGE % "<div><article><p>The first part.</p></article><article><p>The second, longer part.<article><p>A reply.</p></article></article></div><section><article><p>Else</p></article></section>"
-    assert main_text(page) == "The first part.\n\nThe second, longer part."
+    assert main_text(page) == "The first part.\n\nThe second, longer part.\n\nElse"
 
 
 def test_main_text_by_surge_and_dive():
@@ -265,6 +265,69 @@ def test_main_text_by_surge_and_dive():
     assert main_text(page) == "Title\n\nFirst paragraph, long enough.\n\nSecond paragraph é."
 
 
+def _made_page(rng):
+    """A page and its main text: what a plain reading of its parts, as they were put together, gives."""
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9)))
+    say = lambda n: " ".join(word() for _ in range(rng.randint(1, n)))
+    junk = ["<nav><ul><li><a href=/x>{}</a></ul></nav>", '<div class="ad">{}</div>', "<aside><p>{}</p></aside>", '<div id="cookie-notice">{}</div>', "<form><p>{}</p><input></form>", "<script>var t='<p>{}</p>';</script>", "<!-- <p>{} -->", "<style>p{{{}}}</style>", '<section class="comments"><article><p>{}</p></article></section>', "<div style='display:none'>{}</div>"]
+    out, want = [], []
+
+    def block():
+        kind = rng.randrange(5)
+        text = say(40)
+        if kind == 0:
+            out.append(f"<h2>{text}</h2>")
+        elif kind == 1:
+            out.append(f"<ul><li>{text}</li></ul>")
+        elif kind == 2:
+            more = say(5)
+            out.append(f"<p>{text}<br>\n <b>{more}</b> &amp; &lt;i&gt;")
+            text = f"{text} {more} & <i>"
+        elif kind == 3:
+            out.append(f"<div>{text}<p>{text} <a href=q>{text}</a></p></div>")
+            want.append(text)
+            text = f"{text} {text}"
+        else:
+            out.append(f"<p>\t{text}\n")
+        want.append(text)
+
+    for _ in range(rng.randint(1, 3)):
+        out.append(rng.choice(junk).format(say(20)))
+        out.append("<article>")
+        want.append(say(6))
+        out.append(f"<header><h1>{want[-1]}</h1></header>")
+        for _ in range(rng.randint(1, 6)):
+            block()
+            if rng.random() < 0.3:
+                out.append(rng.choice(junk[:8]).format(say(20)))
+        if rng.random() < 0.3:
+            out.append(f"<article><p>{say(9)}</p></article>")
+        out.append("</article>")
+    out.append(f"<footer><p>{say(30)}</p></footer>")
+    page = "<!DOCTYPE html><html><head><title>x</title></head><body><header>Site</header>" + "".join(out) + rng.choice(["", "</body></html>"])
+    return page, "\n\n".join(want)
+
+
+def test_main_text_of_made_pages(spark):
+    rng = random.Random(19)
+    made = [_made_page(rng) for _ in range(400)]
+    for page, want in made:
+        assert main_text(page) == want, page
+    pages = spark.createDataFrame([(i, "u", page, "x", 3) for i, (page, _) in enumerate(made[:40])] * 2, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text(spark, pages).collect())
+    assert got == sorted([(i, want, len(want)) for i, (_, want) in enumerate(made[:40])] * 2)
+
+
+def test_windows_decide_what_is_kept():
+    """Three lines of links in an article are a dive of the sums, whatever tag they have; two are not."""
+    for tag in ("p", "li", "div"):
+        links = [f"<{tag}><a href=x>Link {i}</a></{tag}>" for i in range(4)]
+        for n in (2, 4):
+            page = "<article><p>Before the links.</p>" + "".join(links[:n]) + "<p>After the links.</p></article>"
+            kept = [0, 1] if n == 2 else [0, 3]
+            assert main_text(page) == "\n\n".join(["Before the links.", *(f"Link {i}" for i in kept), "After the links."])
+
+
 def test_pages_without_text(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "u", ""), (3, "u", "<nav>x</nav>"), (3, "u", "a < b"), (None, "u", "<p>" + "x" * 300_000)], "page_id long, url string, html string")
     got = sorted((str(r["page_id"]), r["text"][:5], r["n_chars"]) for r in html_text(spark, pages).collect())

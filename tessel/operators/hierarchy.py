@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,20 +11,28 @@ def leaves(units: DataFrame, key: str = "unit_id", parent: str = "parent_id") ->
     return units.join(units.select(F.col(parent).alias(key)).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
-def ancestors(units: DataFrame, depth: int, key: str = "unit_id", parent: str = "parent_id") -> DataFrame:
-    """(unit, ancestor, distance) up to a depth that the unit kinds fix; a cycle ends where it meets its start.
+def ancestors(units: DataFrame, key: str = "unit_id", parent: str = "parent_id") -> DataFrame:
+    """(unit, ancestor, distance), each pair once with its least distance, however deep the tree is.
 
-    Units nest at most a few levels deep, so the closure is that many joins on hashed keys, without the
-    row limit of recursive SQL.
+    Pairs are joined with themselves, so the distance that is covered doubles from step to step, until a step
+    adds none; a unit in a cycle is no ancestor of itself. No row limit of recursive SQL applies.
     """
-    edge = units.where(F.col(parent).isNotNull()).select(F.col(key).alias("unit"), F.col(parent).alias("ancestor"))
-    step, out = edge.withColumn("distance", F.lit(1)), None
-    for d in range(1, depth + 1):
-        out = step if out is None else out.unionByName(step)
-        if d < depth:
-            up = edge.select(F.col("unit").alias("ancestor"), F.col("ancestor").alias("_up"))
-            step = step.join(up, "ancestor").where("_up <> unit").select("unit", F.col("_up").alias("ancestor"), F.lit(d + 1).alias("distance"))
-    return out
+    spark = units.sparkSession
+    pairs = units.where(F.col(parent).isNotNull() & (F.col(parent) != F.col(key))).select(F.col(key).alias("unit"), F.col(parent).alias("ancestor")).distinct().withColumn("distance", F.lit(1))
+    pairs, n = _kept(spark, pairs)
+    while True:
+        further = pairs.select(F.col("unit").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("distance").alias("_more"))
+        longer = pairs.join(further, "ancestor").where("_up <> unit").select("unit", F.col("_up").alias("ancestor"), (F.col("distance") + F.col("_more")).alias("distance"))
+        pairs, now = _kept(spark, pairs.unionByName(longer).groupBy("unit", "ancestor").agg(F.min("distance").alias("distance")))
+        if now == n:
+            return pairs
+        n = now
+
+
+def _kept(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows that later steps read without computing them again, and their number: in the shared folder if one is set, else cached."""
+    rows = rows.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else rows.persist()
+    return rows, rows.count()
 
 
 def without_parent_repeats(links: DataFrame, closure: DataFrame, source: str, same: list[str]) -> DataFrame:

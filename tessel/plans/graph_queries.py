@@ -19,12 +19,12 @@ def leaf_nodes(spark, sf_dir):
 
 
 def ancestor_closure(spark, sf_dir):
-    return hierarchy.ancestors(_tree(spark, sf_dir), 3)
+    return hierarchy.ancestors(_tree(spark, sf_dir))
 
 
 def drop_parent_dups(spark, sf_dir):
     tree = _tree(spark, sf_dir)
-    closure = hierarchy.ancestors(tree, 3)
+    closure = hierarchy.ancestors(tree)
     return hierarchy.without_parent_repeats(tree.select(F.col("unit_id").alias("source"), "target"), closure, "source", ["target"])
 
 

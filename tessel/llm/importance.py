@@ -1,25 +1,28 @@
 """Quality classifier by importance resampling (after Xie et al., 2023).
 
 A text's features are its hashed n-grams of 6 bytes. The target model is the multinomial of
-labelled texts of good quality that are not toxic; the raw model is a mixture of it and of
-the multinomial of the other labelled texts, both smoothed towards the n-gram counts of all
-documents (a Dirichlet prior, a share of the labelled n-grams), so an n-gram without labels says
-nothing. A text's ratio is read as a whole (mean over its n-grams, a strong prior) and at its
-worst place (lowest sum over 4 n-grams, a weak prior, where a single bad word shows). The lowest of
-many sums falls with the log of their number, so the worst place is read above what labelled good
-texts of that length have, by a least-squares line. Both are put on one scale by
-labelled texts that took no part in the counts, and a logistic fit turns the lesser into the
-log importance weight. Documents are drawn without replacement by Gumbel top-k: the k largest of
-weight over temperature plus Gumbel noise (at 0.1 only texts near the edge are left to chance), where k is by default the number of documents with positive
-weight. The k-th largest key is found exactly by counts of ever narrower ranges of keys.
+labelled texts of good quality that are not toxic, the raw model that of all labelled texts, which are a
+sample of the raw text; both are smoothed towards the n-gram counts of all documents (a Dirichlet
+prior, a share of the labelled n-grams), so an n-gram that no label has seen weighs nothing either way.
+A text's log ratio is the sum over its n-grams of log target less log raw.
+
+It is read in two ways: over the whole text (the mean over its n-grams), and at its worst place
+(the lowest sum over `WINDOW` n-grams), since a few bad words drown in a long text's sum. The lowest of
+many sums falls with the log of their number, so it is read above what good texts of that length have, by
+a least-squares line. Labelled texts that took no part in the counts give that line and put the readings on one scale, that of a log odds of being good with both sorts
+as likely (a logistic fit): this is the log importance weight. Documents are drawn without replacement
+by Gumbel top-k: the k largest of weight over temperature plus Gumbel noise (at 0.1 only texts near the
+edge are left to chance), where k is by default the number of documents with positive weight.
+The k-th largest key is found exactly by counts of ever narrower ranges of keys.
 
 At most about `labelled` label rows are used (a bounded sample, by a hash of the id); counts,
 weights and the draw cover all documents. Noise is a hash of the seed and the id, so a draw
-can be repeated.
+can be repeated, and rows that share an id share it.
 
 Nulls: a null or empty text is never drawn and has a null weight; a text of under 6 bytes
-has weight 0. Label rows with a null id or null labels are ignored. Ties at the k-th key all
-stay. Without usable labels of both sorts every text is drawn. Other columns are not read here.
+has weight 0. Label rows with a null id or null labels are ignored; of several rows for an id the
+lowest quality and the highest toxicity count. Ties at the k-th key all stay, so repeated rows can make
+it more than k. Without usable labels of both sorts every text is drawn. Other columns are not read here.
 """
 
 from __future__ import annotations
@@ -33,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, utf8
+from .common import Scratch, input_bytes, slices, utf8
 from .words import U, mix
 
-GRAM, BUCKETS, SLICE, WINDOW, PRIORS = 6, 1 << 20, 1 << 15, 4, (1.0, 0.01)
+GRAM, BUCKETS, SLICE, WINDOW, PRIOR = 6, 1 << 20, 1 << 15, 8, 0.1
+#: Bytes of files whose counts one sum takes in; beyond that there are two sums, each over the root of the number.
+SUMMED_BYTES = 1 << 28
 LABELLED = 50_000
 GOOD, REST = 1, 2  # classes; those that calibrate have 2 added
 
@@ -83,115 +88,98 @@ def _sum(key, table):
 
 
 def _ratios(value, names: tuple[str, str, str], text: str):
-    """Appends the number of n-grams, their mean log ratio and the worst window to each batch."""
+    """Appends the number of n-grams, their log ratio and the worst window to each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = value.value
         for batch in slices(batches, text):
             m = batch.num_rows
             bucket, row, inside = byte_grams(*utf8(batch.column(text)))
-            w, v = (np.where(inside, r[bucket].astype(np.float64), 0.0) if len(bucket) else np.zeros(0) for r in ratio)
+            w = np.where(inside, ratio[bucket].astype(np.float64), 0.0) if len(bucket) else np.zeros(0)
             n = np.bincount(row[inside], minlength=m)
-            mean = np.bincount(row, weights=w, minlength=m) / np.maximum(n, 1)  # not shrunk, or short texts stay below any threshold
+            total = np.bincount(row, weights=w, minlength=m)
             worst = np.zeros(m)
-            if len(v) >= WINDOW:
-                near = v[: len(v) - WINDOW + 1].copy()
+            if len(w) >= WINDOW:
+                near = w[: len(w) - WINDOW + 1].copy()
                 for j in range(1, WINDOW):
-                    near += v[j : len(v) - WINDOW + 1 + j]
+                    near += w[j : len(w) - WINDOW + 1 + j]
                 near[row[: len(near)] != row[WINDOW - 1 :]] = 0.0
                 np.minimum.at(worst, row[: len(near)], near)
-            more = (pa.array(n, pa.int64()), pa.array(mean), pa.array(worst))
+            more = (pa.array(n, pa.int64()), pa.array(total), pa.array(worst))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
 
     return run
 
 
+def log_ratios(good: np.ndarray, rest: np.ndarray, every: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """log target less log raw of each bucket, from counts in good labelled texts, other labelled texts and all documents."""
+    base = (every + 1e-3) / (every + 1e-3).sum()
+    raw = good + rest
+    weight = prior * raw.sum() + 1.0
+    return np.log((good + weight * base) / (good.sum() + weight)) - np.log((raw + weight * base) / (raw.sum() + weight))
+
+
 @dataclass
 class Model:
-    """The broadcast log ratios of all buckets (4 MB), and how a text's two readings become its log importance weight."""
+    """The broadcast log ratios of all buckets (4 MB), and how a text's readings become its log importance weight: the fall of a good text's worst window by the log of its n-grams, and the terms of constant, mean and worst window."""
 
     ratio: object
-    mean: tuple[float, float] = (0.0, 1.0)  # threshold and spread
-    worst: tuple[float, float] = (0.0, 1.0)
-    fall: float = 0.0  # of a good text's worst window, by the log of its n-grams
-    slope: float = 1.0
-    offset: float = 0.0
+    fall: float = 0.0
+    terms: tuple[float, float, float] = (0.0, 0.0, 0.0)
     usable: bool = True
 
-    def weight(self, n: Column, mean: Column, worst: Column, text_bytes: Column) -> Column:
+    def weight(self, n: Column, total: Column, worst: Column, text_bytes: Column) -> Column:
         level = worst + F.lit(self.fall) * F.log(n + 1.0)
-        lesser = F.least((mean - self.mean[0]) / self.mean[1], (level - self.worst[0]) / self.worst[1])
-        known = F.lit(self.slope) * lesser + self.offset if self.usable else F.lit(0.0)
-        return F.when(text_bytes > 0, F.when(n > 0, known).otherwise(F.lit(0.0)))
-
-
-def _split(good: np.ndarray, rest: np.ndarray) -> tuple[float, float]:
-    """The threshold with the highest balanced accuracy, halfway to the next value, and the spread of good texts."""
-    both = np.concatenate([good, rest])
-    order = np.argsort(both, kind="stable")
-    is_good = np.concatenate([np.ones(len(good), bool), np.zeros(len(rest), bool)])[order]
-    balance = np.cumsum(~is_good) / len(rest) - np.cumsum(is_good) / len(good)
-    i = int(np.argmax(balance))
-    values = both[order]
-    return float((values[i] + values[min(i + 1, len(values) - 1)]) / 2), float(good.std() + 1e-9)
-
-
-def _fall(n: np.ndarray, worst: np.ndarray) -> float:
-    """How far the worst window of good texts falls for each unit of log n, by least squares; never below 0."""
-    x = np.log(n + 1.0)
-    x -= x.mean()
+        known = F.lit(self.terms[0]) + F.lit(self.terms[1]) * total / n + F.lit(self.terms[2]) * level
+        return F.when(text_bytes > 0, F.when(n > 0, known if self.usable else F.lit(0.0)).otherwise(F.lit(0.0)))
+
+
+def falling(length: np.ndarray, worst: np.ndarray) -> float:
+    """How far the worst window of good texts falls for each unit of the log of their length, by least squares; never below 0."""
+    x = length - length.mean()
     return max(0.0, -float(x @ worst / max(x @ x, 1e-9)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of log p(x | y = 1) / p(x | y = 0): a logistic fit in which both classes weigh alike."""
-    a, b = 1.0, 0.0
-    share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([(share * (y - p) * x).sum() - 1e-3 * a, (share * (y - p)).sum()])
-        q = share * p * (1 - p) + 1e-9
-        h = np.array([[(q * x * x).sum() + 1e-3, (q * x).sum()], [(q * x).sum(), q.sum()]])
-        step = np.linalg.solve(h, g)
-        a, b = a + float(np.clip(step[0], -2, 2)), b + float(np.clip(step[1], -2, 2))
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Constant and weights of log p(x | y = 1) / p(x | y = 0): a logistic fit by Newton's method in which both classes weigh alike, with a slight ridge."""
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.column_stack([np.ones(len(x)), (x - mean) / spread])
+    share, w = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())), np.zeros(z.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        hessian = (z * (share * p * (1 - p) + 1e-9)[:, None]).T @ z + 1e-2 * np.eye(len(w))
+        step = np.linalg.solve(hessian, z.T @ (share * (y - p)) - 1e-2 * w)
+        w += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-6:
             break
-    return max(a, 1e-3), b
+    return np.concatenate([[w[0] - (w[1:] * mean / spread).sum()], w[1:] / spread])
 
 
-def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, priors: tuple[float, float] = PRIORS) -> Model:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, prior: float = PRIOR) -> Model:
     """docs(id, text), labels(doc_id, quality, toxic) -> a model whose counts cover all of docs."""
     rows = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     every = max(1, math.ceil(rows.count() / labelled))
     kind = F.when((F.col("q") == 1) & (F.col("t") == 0), GOOD).otherwise(REST) + F.when(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(6)) == 0, 2).otherwise(0)
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id", kind.alias("class"))
     marked = docs.join(F.broadcast(sample), "id", "left").select("id", "text", F.coalesce("class", F.lit(0)).cast("int").alias("class"))  # about `labelled` rows, by the share above
-    summed = marked.select("text", "class").mapInArrow(_counts, "class int, at int, counts binary").groupBy("class", "at").applyInArrow(_sum, "class int, at int, counts binary")
+    schema = "class int, at int, counts binary"
+    summed = marked.select("text", "class").mapInArrow(_counts, schema)
+    if (salts := math.ceil(math.sqrt(input_bytes(docs) / SUMMED_BYTES))) > 1:  # a task's counts are a row for each slice: no sum takes in those of all tasks
+        summed = summed.groupBy("class", "at", F.pmod(F.spark_partition_id(), F.lit(min(salts, 4096))).alias("salt")).applyInArrow(_sum, schema)
+    summed = summed.groupBy("class", "at").applyInArrow(_sum, schema)
     counts = {k: np.zeros(BUCKETS) for k in (0, GOOD, REST)}
     for r in summed.toLocalIterator():  # at most three arrays of BUCKETS counts
         counts[r["class"]][r["at"] : r["at"] + SLICE] = np.frombuffer(r["counts"], f"<u{len(r['counts']) // SLICE}")
-    base = (counts[0] + 1e-3) / (counts[0] + 1e-3).sum()
-    ratios = []
-    for share in priors:
-        prior = share * (counts[GOOD].sum() + counts[REST].sum()) + 1.0
-        target, rest = ((counts[k] + prior * base) / (counts[k].sum() + prior) for k in (GOOD, REST))
-        ratios.append(np.log(target) - np.log(rest))
-    model = Model(spark.sparkContext.broadcast(np.array(ratios, np.float16)))
-    value = model.ratio
-    known = marked.where("class > 2").mapInArrow(_ratios(value, ("n", "mean", "worst"), "text"), "id bigint, text string, class int, n bigint, mean double, worst double")
-    seen = np.array([(r["class"], r["mean"], r["worst"], r["n"]) for r in known.where("n > 0").select("class", "mean", "worst", "n").collect()]).reshape(-1, 4)  # a sixth of the sample
-    good, other = seen[seen[:, 0] == GOOD + 2], seen[seen[:, 0] == REST + 2]
-    if len(good) < 20 or len(other) < 20 or not counts[GOOD].any() or not counts[REST].any():
+    model = Model(spark.sparkContext.broadcast(log_ratios(counts[GOOD], counts[REST], counts[0], prior).astype(np.float32)))
+    known = marked.where("class > 2").mapInArrow(_ratios(model.ratio, ("n", "total", "worst"), "text"), "id bigint, text string, class int, n bigint, total double, worst double")
+    seen = np.array([(r["class"], r["n"], r["total"], r["worst"]) for r in known.where("n > 0").select("class", "n", "total", "worst").collect()]).reshape(-1, 4)  # a sixth of the sample
+    good = seen[:, 0] == GOOD + 2
+    if good.sum() < 20 or (~good).sum() < 20 or not counts[GOOD].any() or not counts[REST].any():
         model.usable = False
         return model
-    model.fall = _fall(good[:, 3], good[:, 2])
-    for x in (seen, good, other):
-        x[:, 2] += model.fall * np.log(x[:, 3] + 1.0)
-    model.mean = _split(good[:, 1], other[:, 1])
-    missed = other[other[:, 1] > model.mean[0]]  # what only its worst place can tell
-    model.worst = _split(good[:, 2], (missed if len(missed) >= 10 else other)[:, 2])
-    lesser = np.minimum((seen[:, 1] - model.mean[0]) / model.mean[1], (seen[:, 2] - model.worst[0]) / model.worst[1])
-    model.slope, model.offset = _logistic(np.clip(lesser, -4, 4), (seen[:, 0] == GOOD + 2).astype(float))
+    length = np.log(seen[:, 1] + 1.0)
+    model.fall = falling(length[good], seen[good, 3])
+    model.terms = tuple(map(float, logistic(np.column_stack([seen[:, 2] / seen[:, 1], seen[:, 3] + model.fall * length]), good.astype(float))))
     return model
 
 
@@ -230,10 +218,10 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
 
 
 def weighted(docs: DataFrame, model: Model, value, id_col: str, text_col: str, seed: int, temperature: float) -> DataFrame:
-    """docs with all its columns, and n_grams, log_weight and sample_key under names that no column of docs has."""
+    """docs with all its columns, and n_grams, log_ratio, log_weight and sample_key under names that no column of docs has."""
     import pyspark.sql.types as T
 
-    names = tuple(_free(docs, x) for x in ("n_grams", "mean_ratio", "worst_window"))
+    names = tuple(_free(docs, x) for x in ("n_grams", "log_ratio", "worst_window"))
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.DoubleType())])
     rows = docs.mapInArrow(_ratios(value, names, text_col), schema)
     weight = model.weight(F.col(names[0]), F.col(names[1]), F.col(names[2]), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))))
@@ -249,12 +237,12 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def importance_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int | None = None, temperature: float = 0.1, seed: int = 1, labelled: int = LABELLED, rows: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, n_grams, log_weight, sample_key, kept; with rows=True instead the drawn rows of docs, unchanged."""
+    """One row for each row of docs: doc_id, n_grams, log_ratio, log_weight, sample_key, kept; with rows=True instead the drawn rows of docs, unchanged."""
     scratch = Scratch(spark, "importance")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    model = fit(spark, scratch, source, labels, labelled=labelled)
+    model = fit(spark, source, labels, labelled=labelled)
     value = model.ratio
-    scores = scratch.table("scores", weighted(source, model, value, "id", "text", seed, temperature).select(F.col("id").alias("doc_id"), "n_grams", "log_weight", "sample_key"))
+    scores = scratch.table("scores", weighted(source, model, value, "id", "text", seed, temperature).select(F.col("id").alias("doc_id"), "n_grams", "log_ratio", "log_weight", "sample_key"))
     if k is None:
         k = scores.where("log_weight > 0").count() if model.usable else scores.where("log_weight is not null").count()
     least = kth_largest(scores, "sample_key", k) if k else math.inf

@@ -7,8 +7,10 @@ from collections import Counter
 
 import numpy as np
 
-from tessel.llm import pii
-from tessel.llm.importance import importance_sample, kth_largest
+from pyspark.sql import functions as F
+
+from tessel.llm import importance, pii
+from tessel.llm.importance import BUCKETS, byte_grams, gumbel, importance_sample, kth_largest
 from tessel.llm.interpolated_lm import contexts, fit_weights, interpolated_scores
 
 
@@ -79,6 +81,62 @@ def test_importance_keeps_clean_texts_of_any_length(spark, documents):
     assert np.mean([kept[i] for i, q, t in labels if not q or t]) < 0.2
 
 
+def test_log_ratios_against_brute_force(spark, documents):
+    """Counts of every n-gram of every text by a plain walk, both models from them, and each text's sum."""
+    rows, labels = _labelled(spark, documents, 300)
+    rows += [(9001, "short"), (9002, ""), (9003, None), (9004, "x" * 200_000), (5, rows[5][1]), (None, rows[7][1])]
+    known = labels[:250]
+    grams = lambda t: [(t or "").encode()[i : i + 6] for i in range(len((t or "").encode()) - 5)]
+    slot = lambda g: int(byte_grams(np.frombuffer(g, np.uint8), np.array([0, 6]))[0][0])
+    ids = spark.createDataFrame([(i,) for i, _, _ in known], "id long").select("id", F.expr("pmod(xxhash64(id, 7), 6) = 0").alias("apart")).collect()
+    apart = {r["id"] for r in ids if r["apart"]}
+    sort = {i: "good" if q and not t else "rest" for i, q, t in known if i not in apart}
+    every, good, rest = Counter(), Counter(), Counter()
+    for doc, text in rows:
+        own = Counter(slot(g) for g in grams(text))
+        every += own
+        if doc in sort:
+            (good if sort[doc] == "good" else rest).update(own)
+    total = sum(every.values()) + 1e-3 * BUCKETS
+    weight = 0.1 * (sum(good.values()) + sum(rest.values())) + 1
+
+    def ratio(b):
+        base = (every[b] + 1e-3) / total
+        target = (good[b] + weight * base) / (sum(good.values()) + weight)
+        raw = (good[b] + rest[b] + weight * base) / (sum(good.values()) + sum(rest.values()) + weight)
+        return math.log(target / raw)
+
+    got = importance_sample(spark, documents(rows), spark.createDataFrame(known, "doc_id long, quality int, toxic int")).collect()
+    want = sorted((str(doc), len(grams(text)), sum(ratio(slot(g)) for g in grams(text))) for doc, text in rows)
+    for g, w in zip(sorted(((str(r["doc_id"]), r["n_grams"], r["log_ratio"]) for r in got)), want, strict=True):
+        assert g[:2] == w[:2] and math.isclose(g[2], w[2], rel_tol=1e-4, abs_tol=1e-3), (g, w)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[9001]["log_weight"] == 0 and by_id[9001]["n_grams"] == 0
+    assert by_id[9002]["log_weight"] is None and by_id[9003]["log_weight"] is None
+    assert len({r["sample_key"] for r in got if r["doc_id"] == 5}) == 1
+
+
+def test_the_draw_is_gumbel_top_k(spark, documents):
+    """Keys are weight over temperature plus noise, and the k largest of them are kept; ties stay."""
+    rows, labels = _labelled(spark, documents, 200)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = importance_sample(spark, documents(rows + [(3, rows[3][1])]), known, k=50, temperature=2.0).collect()
+    noise = {r["id"]: r["g"] for r in spark.createDataFrame([(i,) for i, _ in rows], "id long").select("id", gumbel(F.col("id"), 1).alias("g")).collect()}
+    for r in got:
+        assert math.isclose(r["sample_key"], r["log_weight"] / 2.0 + noise[r["doc_id"]], rel_tol=1e-9, abs_tol=1e-9)
+    ranked = sorted((r["sample_key"] for r in got), reverse=True)
+    assert all(r["kept"] == (r["sample_key"] >= ranked[49]) for r in got)
+
+
+def test_two_sums_equal_one(spark, documents, monkeypatch):
+    rows, labels = _labelled(spark, documents, 200)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one = {r["doc_id"]: r["log_ratio"] for r in importance_sample(spark, documents(rows).repartition(7), known).collect()}
+    monkeypatch.setattr(importance, "input_bytes", lambda _: 9 * importance.SUMMED_BYTES)
+    two = {r["doc_id"]: r["log_ratio"] for r in importance_sample(spark, documents(rows).repartition(7), known).collect()}
+    assert one == two
+
+
 def test_kth_largest(spark):
     rng = random.Random(9)
     values = [rng.gauss(0, 1) for _ in range(2000)] + [0.5] * 300 + [1e9, -1e9]

@@ -203,29 +203,31 @@ def _candidates(hashes: np.ndarray, begin: np.ndarray, index: ItemIndex) -> np.n
     return may
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_words: int) -> Iterator[tuple[list, list]]:
+    """Ids and texts of the items in blocks of at most so many words; one empty block if there are none."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
+    ids, texts, held = [], [], 0
+    for row in items.toLocalIterator():
+        size = len(row["text"]) // 2 + 1
+        if ids and held + size > block_words:
+            yield ids, texts
+            ids, texts, held = [], [], 0
+        ids.append(row["id"])
+        texts.append(row["text"])
+        held += size
+    yield ids, texts
+
+
 def benchmark_overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, k: int = K, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items and the word spans that are hit."""
     if not 0 < k <= window:
         raise ValueError("k must be at least 1 and at most the window")
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
 
     def load(packed):
         return ItemIndex(*packed, k, window)
 
-    def blocks() -> Iterator[tuple[list, list]]:
-        ids, texts, held = [], [], 0
-        for row in items.toLocalIterator():
-            size = len(row["text"]) // 2 + 1
-            if ids and held + size > block_words:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-            ids.append(row["id"])
-            texts.append(row["text"])
-            held += size
-        yield ids, texts
-
-    ahead = blocks()
+    ahead = _blocks(benchmark, item_col, item_text_col, block_words)
     first, second = next(ahead), next(ahead, None)
     if second is None:
         return source.mapInArrow(_scan(spark.sparkContext.broadcast(first), load, True), HITS).drop("row")
@@ -240,6 +242,27 @@ def benchmark_overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
     return _unite(found, more).drop("row")
 
 
+def without_overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, k: int = K, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns: one filter for each block, and no row moves."""
+    for block in _blocks(benchmark, item_col, item_text_col, block_words):
+        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(block), k, window, text_col), docs.schema)
+    return docs
+
+
+def _clean(index, k: int, window: int, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ItemIndex(*index.value, k, window)
+        for batch in slices(batches, text_col):
+            texts = batch.column(text_col)
+            hashes, begin = words(*utf8(texts), ALNUM)
+            keep = ~_candidates(hashes, begin, own)
+            for r in np.flatnonzero(~keep).tolist():
+                keep[r] = not own.hits(hashes[begin[r] : begin[r + 1]], lambda r=r: words_of(texts[r].as_py()))[1]
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _unite(found: DataFrame, more: DataFrame) -> DataFrame:
     """All rows with the hits of the first block, and the rows that later blocks hit: each row with the hits of all blocks."""
 

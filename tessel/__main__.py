@@ -38,11 +38,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> object:
     if args.command == "validate":
         return corpus.validate(spark, args.corpus)
     if args.command == "score":
-        samples, results = benchmark.load(spark, args.benchmark), benchmark.results(spark, args.results).where("not failed")
+        samples, every = benchmark.load(spark, args.benchmark), benchmark.results(spark, args.results)
+        results = every.where("not failed")
         truth = samples.select(F.col("id").alias("sample_id"), F.explode("relevance").alias("r")).select("sample_id", F.col("r.evidence_id").alias("item_id"), "r.grade", "r.required")
         ranks = results.select(F.col("id").alias("sample_id"), F.posexplode("ranking").alias("rank", "item_id")).withColumn("rank", F.col("rank") + 1)
-        scored = evaluation.metrics(truth, ranks, args.cutoffs).join(samples.select(F.col("id").alias("sample_id"), "task", "split"), "sample_id")
-        return [r.asDict() for r in evaluation.means(scored.withColumn("cutoff", F.col("k")), ["recall", "required_recall", "mrr", "ndcg"], ["task", "split", "cutoff"]).collect()]
+        scored = evaluation.metrics(truth, ranks, args.cutoffs, answered=results.select(F.col("id").alias("sample_id"))).join(samples.select(F.col("id").alias("sample_id"), "task", "split"), "sample_id")
+        left_out = evaluation.unscored(samples.select(F.col("id").alias("sample_id")), every.select(F.col("id").alias("sample_id"), "failed")).orderBy("why", "sample_id").collect()
+        means = evaluation.means(scored.withColumn("cutoff", F.col("k")), ["recall", "required_recall", "mrr", "ndcg"], ["task", "split", "cutoff"]).collect()
+        return {"means": [r.asDict() for r in means], **{why: [r["sample_id"] for r in left_out if r["why"] == why] for why in ("missing", "failed", "extra")}}
     embed, model = hash_embedder(args.dim), f"hash-{args.dim}"
     if args.command == "build":
         return build(spark, args.corpus, args.index, embed, model, args.dim)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Unicode white space with U+001C to U+001F, and the line breaks among it.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -62,6 +65,16 @@ def limited(text: Column, limit: int) -> Column:
     return F.substring(text, 1, limit) if limit else text
 
 
+@F.pandas_udf(StringType())
+def _folded(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+def folded(text: Column) -> Column:
+    """Compatibility forms made plain and case folded, which Spark has no expression for; for keys that are made once, when an index is built."""
+    return _folded(text)
+
+
 def match_key(text: Column) -> Column:
     """Lower-cased letters and digits (P7); give it folded text where compatibility forms matter."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +85,68 @@ def annotation_rows(samples: DataFrame, evidence: DataFrame, limit: int = 500) -
     rows = samples.select(F.col("id").alias("sample_id"), "query", F.explode("relevance").alias("r")).select("sample_id", "query", "r.evidence_id", "r.grade")
     text = evidence.select("evidence_id", (F.substring("text", 1, limit) if limit else F.col("text")).alias("text"))
     return rows.join(text, "evidence_id").select("sample_id", "query", "evidence_id", "text", "grade", F.lit("").alias("reviewer_grade"), F.lit("").alias("reviewer_note"))
+
+
+def selected(samples: DataFrame, task: str | None = None, split: str | None = None, limit: int | None = None) -> DataFrame:
+    """Samples of a task and a split, the first `limit` by id."""
+    for column, value in (("task", task), ("split", split)):
+        if value is not None:
+            samples = samples.where(F.col(column) == value)
+    return samples if limit is None else samples.orderBy("id").limit(limit)
+
+
+def pending(samples: DataFrame, done: DataFrame | None) -> DataFrame:
+    """Samples without a successful result in done(id, failed)."""
+    return samples if done is None else samples.join(done.where("not failed").select("id"), "id", "left_anti")
+
+
+def run_samples(spark: SparkSession, samples: DataFrame, ask: Callable[[dict], dict], path: str, *, resume: bool = True) -> int:
+    """Asks for each sample and appends its result, or its error, as one more file of the folder at once; returns how many were asked.
+
+    A sample costs model calls, so samples go one by one on the driver, and a run that is broken off goes on where it was.
+    """
+    import json
+    import uuid
+
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not resume:
+        store.delete(folder, True)
+    store.mkdirs(folder)
+    have = results(spark, f"{path}/*.jsonl") if any(f.getPath().getName().endswith(".jsonl") for f in store.listStatus(folder)) else None
+    n = 0
+    for row in pending(samples, have).orderBy("id").toLocalIterator():
+        sample = row.asDict(recursive=True)
+        try:
+            line = {"id": sample["id"], **ask(sample), "error": None}
+        except Exception as e:
+            line = {"id": sample["id"], "evidence": [], "error": {"type": type(e).__name__, "message": str(e)}}
+        out = store.create(hadoop.Path(f"{path}/{time.time_ns():020d}-{uuid.uuid4().hex}.jsonl"))
+        out.write(bytearray((json.dumps(line, ensure_ascii=False, sort_keys=True) + "\n").encode()))
+        out.close()
+        n += 1
+    return n
+
+
+def write_annotation_csv(spark: SparkSession, rows: DataFrame, path: str) -> int:
+    """Annotation rows as one CSV file with a byte order mark and plain line ends, as spreadsheets want it (K11); returns the number of rows, which go through the driver one by one."""
+    import csv
+    import io
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    held, n = io.StringIO(), 0
+    writer = csv.writer(held, lineterminator="\n")
+    writer.writerow(rows.columns)
+    out.write(bytearray(b"\xef\xbb\xbf"))
+    for row in rows.orderBy("sample_id", "evidence_id").toLocalIterator():
+        writer.writerow(["" if x is None else x for x in row])
+        n += 1
+        if held.tell() > 1 << 20:
+            out.write(bytearray(held.getvalue().encode()))
+            held.seek(0)
+            held.truncate()
+    out.write(bytearray(held.getvalue().encode()))
+    out.close()
+    return n

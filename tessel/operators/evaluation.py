@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def metrics(judgements: DataFrame, rankings: DataFrame, cutoffs: Sequence[int], sample: str = "sample_id", item: str = "item_id") -> DataFrame:
+def metrics(judgements: DataFrame, rankings: DataFrame, cutoffs: Sequence[int], sample: str = "sample_id", item: str = "item_id", *, answered: DataFrame | None = None) -> DataFrame:
     """A row for each sample and cutoff: precision, recall, required_recall, mrr, ndcg.
 
     judgements(sample, item, grade int, required boolean); rankings(sample, item, rank), of which
-    an item's best rank counts. Samples without a ranking have no row, and those without judgements neither.
+    an item's best rank counts. Samples without a ranking have no row, and those without judgements neither;
+    but samples of answered(sample) have one, as an empty ranking found nothing.
     precision divides by the number returned; required_recall is 1 where nothing is required.
     """
     if not cutoffs or min(cutoffs) < 1:
@@ -31,7 +32,12 @@ def metrics(judgements: DataFrame, rankings: DataFrame, cutoffs: Sequence[int],
         F.count("*").alias("n_returned"), F.count("grade").alias("hits"), F.count_if("required").alias("required_hits"), F.min(F.when(F.col("grade").isNotNull(), F.col("rank"))).alias("first"), F.sum(F.when(F.col("grade").isNotNull(), gain(F.col("grade"), F.col("rank"))).otherwise(0.0)).alias("dcg")
     )
     r = lambda c: F.round(c, 6)
-    return truth.join(got, [sample, "k"]).select(
+    if answered is None:
+        scored = truth.join(got, [sample, "k"])
+    else:
+        counted = ("n_returned", "hits", "required_hits", "dcg")
+        scored = truth.join(answered.select(sample).distinct(), sample, "left_semi").join(got, [sample, "k"], "left").na.fill(0, counted)
+    return scored.select(
         sample,
         "k",
         r(F.col("hits") / F.greatest("n_returned", F.lit(1))).alias("precision"),
@@ -53,3 +59,10 @@ def means(scores: DataFrame, values: Sequence[str], by: Sequence[str]) -> DataFr
     sets = [(), *((c,) for c in by)]
     grouped = scores.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in by))
     return grouped.agg(F.count("*").alias("n"), *(F.round(F.avg(v), 6).alias(v) for v in values))
+
+
+def unscored(samples: DataFrame, results: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """Samples that a score leaves out, and results without a sample, each with why: missing, failed or extra. results(sample, failed)."""
+    both = samples.select(sample, F.lit(True).alias("_s")).join(results.select(sample, "failed"), sample, "full_outer")
+    why = F.when(F.col("_s").isNull(), "extra").when(F.col("failed").isNull(), "missing").when(F.col("failed"), "failed")
+    return both.select(sample, why.alias("why")).where("why is not null")

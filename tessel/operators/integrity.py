@@ -63,3 +63,39 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
         one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table"), "n_rows")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+#: How many units of its main kinds a law has when its text is whole.
+PRIMARY_UNITS = {
+    "eu_gdpr_2016_679": {"recital": 173, "article": 99}, "eu_ai_act_2024_1689": {"recital": 180, "article": 113}, "china_pipl_2021": {"article": 74}, "china_data_security_law_2021": {"article": 55},
+    "us_hipaa_45_cfr_part_164": {"section": 41}, "us_coppa_16_cfr_part_312": {"section": 13}, "us_glba_16_cfr_part_314": {"section": 6}, "singapore_pdpa_2012": {"section": 83, "schedule_clause": 10},
+    "hong_kong_pdpo_cap486": {"section": 104, "schedule_clause": 11}, "india_dpdp_act_2023": {"section": 44, "schedule_clause": 7}, "uk_data_protection_act_2018": {"section": 257, "schedule_clause": 881},
+    "canada_pipeda_current": {"section": 68, "schedule_clause": 56}, "australia_privacy_act_1988_current": {"section": 262, "schedule_clause": 101}, "china_cybersecurity_law_2016": {"article": 79},
+    "japan_appi_current_en": {"article": 185}, "korea_pipa_current_en": {"article": 126}, "brazil_lgpd_law_13709_en": {"article": 80}, "south_africa_popia_act_2013": {"section": 115},
+    "philippines_data_privacy_act_2012": {"section": 45}, "malaysia_pdpa_2010": {"section": 146}, "us_ca_ccpa_cpra_civ_1798_100_199": {"section": 46}, "eu_data_act_2023_2854": {"recital": 119, "article": 50},
+    "eu_data_governance_act_2022_868": {"recital": 63, "article": 38}, "eu_digital_services_act_2022_2065": {"recital": 156, "article": 93}, "eu_nis2_directive_2022_2555": {"recital": 144, "article": 46},
+}
+
+
+def law_report(documents: DataFrame, units: DataFrame, expected: Mapping[str, Mapping[str, int]] = PRIMARY_UNITS) -> DataFrame:
+    """A row for each of documents(doc_id, version_date, raw_text) on its units(unit_id, source_doc_id, parent_id, unit_type, text): counts, the share of units whose text stands in the document, and what is wrong.
+
+    A document's units are gathered beside its text, of which they are slices, so a row is a few times as long as the document.
+    """
+    own = units.groupBy(F.col("source_doc_id").alias("doc_id")).agg(F.collect_list(F.struct("unit_id", "parent_id", "unit_type", F.coalesce("text", F.lit("")).alias("text"))).alias("units"))
+    rows = documents.select("doc_id", "version_date", F.coalesce("raw_text", F.lit("")).alias("raw")).join(own, "doc_id", "left").withColumn("units", F.coalesce("units", F.array().cast(own.schema["units"].dataType)))
+    ids = F.transform("units", lambda u: u["unit_id"])
+    counted = F.aggregate(
+        F.array_distinct(F.transform("units", lambda u: u["unit_type"])), F.expr("cast(map() as map<string,int>)"), lambda m, t: F.map_concat(m, F.map_from_arrays(F.array(t), F.array(F.size(F.filter("units", lambda u: u["unit_type"] == t)))))
+    )
+    rows = rows.withColumns({"unit_count": F.size("units"), "exact_anchors": F.size(F.filter("units", lambda u: F.contains("raw", u["text"]))), "type_counts": counted})
+    wanted = [F.when(F.col("doc_id") == d, F.greatest(*(F.coalesce(F.try_element_at("type_counts", F.lit(t)), F.lit(0)) != n for t, n in kinds.items()), F.lit(False))) for d, kinds in expected.items()]
+    checks = {
+        "empty_source_text": F.trim("raw") == "", "no_legal_units": F.col("unit_count") == 0, "empty_legal_unit_text": F.exists("units", lambda u: F.trim(u["text"]) == ""),
+        "missing_parent_unit": F.exists("units", lambda u: u["parent_id"].isNotNull() & (u["parent_id"] != "") & ~F.array_contains(ids, u["parent_id"])), "normalized_or_composed_unit_text": F.col("exact_anchors") != F.col("unit_count"),
+        "primary_structure_count_mismatch": F.coalesce(*wanted, F.lit(False)), "version_not_date_pinned": F.col("version_date") == "current",
+    }
+    issues = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in checks.items())))
+    ratio = F.when(F.col("unit_count") > 0, F.round(F.col("exact_anchors") / F.col("unit_count"), 6)).otherwise(F.lit(0.0))
+    out = rows.select("doc_id", F.length("raw").alias("source_text_chars"), F.sha2("raw", 256).alias("content_sha256"), "unit_count", "exact_anchors", ratio.alias("exact_anchor_ratio"), "type_counts", issues.alias("issues"))
+    return out.withColumn("status", F.when(F.size("issues") == 0, "pass").otherwise("warning"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import match_key, strict_key
+from ..functions.text import folded, match_key, strict_key
 
 
 def dot(vector: Column, query: Sequence[float] | Column) -> Column:
@@ -78,11 +78,15 @@ def bound_to_documents(candidates: DataFrame, source_type: str, doc: str, record
     return rows.where(keep).drop("_linked")
 
 
-def exact_lookup(units: DataFrame, citations: DataFrame, doc: str = "doc_id", citation: str = "local_citation", wanted: str = "wanted", position: str = "position") -> DataFrame:
-    """Units of a citation (J3): equal loose keys meet in the join, equal strict keys decide. citations(doc, wanted, position)."""
-    left = units.withColumn("_k", match_key(F.col(citation)))
-    right = citations.select(doc, F.col(wanted), F.col(position), match_key(F.col(wanted)).alias("_k"))
-    return left.join(right, [doc, "_k"]).where(strict_key(F.col(citation)) == strict_key(F.col(wanted))).drop("_k")
+def exact_lookup(units: DataFrame, citations: DataFrame, doc: str = "doc_id", citation: str = "local_citation", wanted: str = "wanted", position: str = "position", *, fold: bool = False) -> DataFrame:
+    """Units of a citation (J3): equal loose keys meet in the join, equal strict keys decide. citations(doc, wanted, position).
+
+    fold makes compatibility forms plain and folds case first, which runs Python on both sides' citations.
+    """
+    plain = folded if fold else (lambda c: c)
+    left = units.withColumn("_s", plain(F.col(citation))).withColumn("_k", match_key(F.col("_s")))
+    right = citations.select(doc, F.col(wanted), F.col(position), plain(F.col(wanted)).alias("_w")).withColumn("_k", match_key(F.col("_w")))
+    return left.join(right, [doc, "_k"]).where(strict_key(F.col("_s")) == strict_key(F.col("_w"))).drop("_k", "_s", "_w")
 
 
 def related(links: DataFrame, units: DataFrame, laws: DataFrame, request: str, unit: str, doc: str, limit: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.passages import Counter, passages
-from ..functions.text import excerpt, lines, match_key, non_blank
+from ..functions.text import excerpt, folded, lines, match_key, non_blank
 from ..operators import ranking, retrieval
 from ..operators.hierarchy import leaves
 from ..sources.jsonl import read_jsonl
@@ -64,7 +64,7 @@ def tables(spark: SparkSession, corpus: str, embed: Embed, *, threshold: int = 1
     """The index's tables as plans over a corpus folder; nothing is read yet."""
     read = lambda name, schema: read_jsonl(spark, f"{corpus}/{name}.jsonl", schema)
     laws = read("laws", LAWS)
-    units = read("legal_units", LEGAL_UNITS).where("is_current").withColumnRenamed("source_doc_id", "doc_id").withColumn("citation_key", match_key(F.col("local_citation")))
+    units = read("legal_units", LEGAL_UNITS).where("is_current").withColumnRenamed("source_doc_id", "doc_id").withColumn("citation_key", match_key(folded(F.col("local_citation"))))
     cases = read("gdprhub_cases", CASES).where(non_blank(F.col("facts_text")).isNotNull() | non_blank(F.col("decision_text")).isNotNull()).withColumn("industries", F.transform("industry", lambda i: i["industry"])).drop("industry")
     links = read("case_law_relations", CASE_RELATIONS).where("resolution_status = 'resolved'")
     links = links.join(cases.select("case_id"), "case_id", "left_semi").join(units.select(F.col("unit_id").alias("target_unit_id")), "target_unit_id", "left_semi").dropDuplicates(["case_id", "target_unit_id", "citation"])
@@ -108,11 +108,13 @@ class Index:
         self.meta = json.loads(spark.read.text(f"{path}/current").first()["value"])
         if self.meta["schema_version"] != VERSION or self.meta["model"] != model:
             raise ValueError("the index was built by another version or model")
+        if (dim := len(embed([""])[0])) != self.meta["dim"]:
+            raise ValueError(f"the index holds vectors of {self.meta['dim']} numbers, the model gives {dim}")
         self.table = lambda name: spark.read.parquet(f"{path}/{self.meta['version']}/{name}")
 
     def exact(self, citations: DataFrame) -> DataFrame:
         """Units of citations(request_id, doc_id, wanted, position), each once at its first position."""
-        found = retrieval.exact_lookup(self.table("units"), citations.drop("request_id").distinct())
+        found = retrieval.exact_lookup(self.table("units"), citations.drop("request_id").distinct(), fold=True)
         rows = found.join(citations.select("request_id", "doc_id", "wanted", "position"), ["doc_id", "wanted", "position"])
         return ranking.first_wins(rows.select("request_id", "unit_id", "position", F.lit(1.0).alias("score")), ["request_id", "unit_id"], "position")
 

@@ -56,6 +56,11 @@ def without_superseded(rows: DataFrame, key: str, successors: DataFrame) -> Data
     return rows.join(gone, key, "left_anti")
 
 
+def kind_counts(units: DataFrame, doc: str, kind: str, kinds: Sequence[str]) -> DataFrame:
+    """How many units of each of some kinds a document has, a column for each kind."""
+    return units.groupBy(doc).pivot(kind, list(kinds)).agg(F.count(F.lit(1))).na.fill(0)
+
+
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows of each table, as table and n_rows."""
     out: DataFrame | None = None

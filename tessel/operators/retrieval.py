@@ -108,3 +108,9 @@ def refine_by_passages(ranked: DataFrame, passages: DataFrame, request: Sequence
     lifted = best.groupBy(*request, parent).agg(F.max(score).alias("_best"), F.transform(F.array_sort(F.collect_list(F.struct("_p", passage))), lambda x: x[passage]).alias("passages"))
     out = ranked.join(lifted, [*request, parent], "left")
     return out.withColumn(score, F.greatest(F.col(score), F.col("_best"))).withColumn("passages", F.coalesce("passages", F.array().cast("array<string>") if dict(passages.dtypes)[passage] == "string" else F.array().cast(f"array<{dict(passages.dtypes)[passage]}>"))).drop("_best")
+
+
+def examples(units: DataFrame, doc: str, kind: str, citation: str) -> DataFrame:
+    """Of each document a map from the kinds of its units to the first citation of each."""
+    least = units.where(F.col(kind).isNotNull()).groupBy(doc, kind).agg(F.min(citation).alias("example"))
+    return least.groupBy(doc).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(kind, "example")))).alias("examples"))

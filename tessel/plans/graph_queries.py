@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import hierarchy, integrity
+from ..operators import hierarchy, integrity, retrieval
 from .retrieval_queries import read
 
 
@@ -57,9 +57,9 @@ def superseded_filter(spark, sf_dir):
 
 
 def catalog_summary(spark, sf_dir):
+    """Of each brand how many parts it has and an example of each of its types."""
     part = read(spark, sf_dir, "part")
-    example = part.groupBy("p_brand", "p_type").agg(F.min("p_name").alias("example"), F.count("*").alias("n"))
-    nested = example.groupBy("p_brand").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p_type", "example")))).alias("examples"), F.sum("n").alias("n_parts"))
+    nested = retrieval.examples(part, "p_brand", "p_type", "p_name").join(part.groupBy("p_brand").agg(F.count("*").alias("n_parts")), "p_brand")
     return nested.select("p_brand", "n_parts", F.array_join(F.transform(F.map_entries("examples"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("examples"))
 
 
@@ -68,13 +68,14 @@ def build_stats(spark, sf_dir):
 
 
 def unit_type_counts(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders")
-    return orders.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).na.fill(0).select("o_orderpriority", F.col("F").alias("n_f"), F.col("O").alias("n_o"), F.col("P").alias("n_p"))
+    """How many units of each kind a document has."""
+    counted = integrity.kind_counts(read(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", ("F", "O", "P"))
+    return counted.select("o_orderpriority", F.col("F").alias("n_f"), F.col("O").alias("n_o"), F.col("P").alias("n_p"))
 
 
 def citation_expand(spark, sf_dir):
     """References "Article a to b(n)" made from columns, expanded and resolved to units, else to the parent that they name."""
-    line = read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").select("l_orderkey", F.col("l_linenumber").alias("n"), F.least(F.col("l_partkey") % 7, F.lit(4)).cast("int").alias("more"))
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), F.least(F.col("l_partkey") % 7, F.lit(4)).cast("int").alias("more"))
     each = line.select("l_orderkey", "n", F.explode(F.sequence("n", F.col("n") + F.col("more"))).alias("number"))
     asked = each.select("l_orderkey", "n", F.concat(F.lit("Article "), F.col("number"), F.lit("("), F.col("number") % 3, F.lit(")")).alias("requested")).distinct()
     units = read(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("Article "), F.col("l_linenumber"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("("), F.col("l_linenumber") % 3, F.lit(")"))).otherwise(F.lit(""))).alias("citation")).distinct()
@@ -120,7 +121,7 @@ ORACLE_SQL = {
     "unit_type_counts": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p FROM orders GROUP BY 1",
     "event_windows": "SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "citation_expand": """
-        WITH l AS (SELECT l_orderkey, l_linenumber AS n, least(l_partkey % 7, 4) AS more FROM lineitem WHERE l_orderkey % 5 = 0),
+        WITH l AS (SELECT l_orderkey, l_linenumber AS n, least(l_partkey % 7, 4) AS more FROM lineitem),
         a AS (SELECT l_orderkey, n, unnest(range(n, n + more + 1)) AS x FROM l),
         u AS (SELECT DISTINCT l_orderkey, 'Article ' || l_linenumber || CASE WHEN l_linenumber % 2 = 0 THEN '(' || l_linenumber % 3 || ')' ELSE '' END AS citation FROM lineitem),
         r AS (SELECT DISTINCT l_orderkey, n, 'Article ' || x || '(' || x % 3 || ')' AS requested, 'Article ' || x AS parent FROM a)

@@ -152,6 +152,10 @@ class Index:
 
     def catalogue(self) -> DataFrame:
         """Laws with an example citation of each unit kind (Q6)."""
-        example = self.table("units").where("unit_type is not null").groupBy("doc_id", "unit_type").agg(F.min("local_citation").alias("example"))
-        nested = example.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("unit_type", "example")))).alias("examples"))
+        nested = retrieval.examples(self.table("units"), "doc_id", "unit_type", "local_citation")
         return self.table("laws").join(nested, "doc_id", "left").select("doc_id", "title", "jurisdiction", "examples").orderBy("jurisdiction", "title")
+
+    def extent(self) -> DataFrame:
+        """One row: the cases' countries and jurisdictions, and their first and last date (Q6)."""
+        named = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit(""))))
+        return self.table("cases").agg(named("country").alias("countries"), named("jurisdiction").alias("jurisdictions"), F.min("decided_date").alias("first_date"), F.max("decided_date").alias("last_date"))

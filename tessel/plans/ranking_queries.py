@@ -69,7 +69,7 @@ def case_slot_merge(spark, sf_dir):
 
 
 def _judged(spark, sf_dir):
-    line = read(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    line = read(spark, sf_dir, "lineitem")
     truth = line.groupBy(F.col("l_orderkey").alias("sample_id"), F.col("l_partkey").alias("item_id")).agg(F.max((F.col("l_linenumber") % 3 + 1).cast("int")).alias("grade"), F.max(F.col("l_linenumber") == 1).alias("required"))
     ranks = line.select(F.col("l_orderkey").alias("sample_id"), (F.col("l_partkey") + F.when(F.col("l_linenumber") % 2 == 0, 0).otherwise(F.col("l_linenumber") % 3)).alias("item_id"), F.col("l_linenumber").alias("rank"))
     return truth, ranks
@@ -109,10 +109,10 @@ _ROLE_ROWS = """r0 AS (
 r AS (SELECT request_id, role, item, row_number() OVER (PARTITION BY request_id, role ORDER BY q DESC, item) AS rank FROM r0 QUALIFY rank <= 12)"""
 _JUDGED = """truth AS (
     SELECT l_orderkey AS sample_id, l_partkey AS item_id, max(l_linenumber % 3 + 1) AS grade, bool_or(l_linenumber = 1) AS required
-    FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2),
+    FROM lineitem GROUP BY 1, 2),
 best AS (
     SELECT sample_id, item_id, row_number() OVER (PARTITION BY sample_id ORDER BY min(rank), item_id) AS rank
-    FROM (SELECT l_orderkey AS sample_id, l_partkey + CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE l_linenumber % 3 END AS item_id, l_linenumber AS rank FROM lineitem WHERE l_orderkey % 10 = 0)
+    FROM (SELECT l_orderkey AS sample_id, l_partkey + CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE l_linenumber % 3 END AS item_id, l_linenumber AS rank FROM lineitem)
     GROUP BY sample_id, item_id),
 ideal AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY grade DESC, item_id) AS i FROM truth),
 t AS (

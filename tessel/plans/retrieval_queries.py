@@ -61,7 +61,7 @@ def rrf_fusion(spark, sf_dir):
 
 def exact_lookup(spark, sf_dir):
     part = read(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), "p_partkey", F.col("p_name").alias("local_citation"))
-    asked = part.where("p_partkey % 97 = 0").select("doc_id", F.upper(F.regexp_replace("local_citation", " ", "  ")).alias("wanted"), F.col("p_partkey").alias("position"))
+    asked = part.where("p_partkey % 50 = 0").select("doc_id", F.upper(F.regexp_replace("local_citation", " ", "  ")).alias("wanted"), F.col("p_partkey").alias("position"))
     return retrieval.exact_lookup(part, asked).select("p_partkey", "position", match_key(F.col("local_citation")).alias("loose"), strict_key(F.col("local_citation")).alias("strict"))
 
 
@@ -82,7 +82,7 @@ def candidate_exists(spark, sf_dir):
 
 def related_expand(spark, sf_dir):
     line, part = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
-    links = line.where("l_orderkey % 50 = 0").select("l_orderkey", "l_partkey")
+    links = line.select("l_orderkey", "l_partkey")
     units = part.select(F.col("p_partkey").alias("l_partkey"), "p_name", F.col("p_brand").alias("brand"))
     brands = part.groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("brand_parts"))
     return retrieval.related(links, units, brands, "l_orderkey", "l_partkey", "brand", 3).select("l_orderkey", "l_partkey", "p_name", "brand", "brand_parts", "rank")
@@ -134,7 +134,7 @@ ORACLE_SQL = {
         SELECT vec_id, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, x NULLS LAST, y)::INT AS rank FROM f QUALIFY rank <= 25""",
     "exact_lookup": r"""
         WITH p AS (SELECT *, regexp_replace(lower(p_name), '[^\p{L}\p{N}]', '', 'g') AS loose, regexp_replace(lower(p_name), '\s+', '', 'g') AS strict FROM part)
-        SELECT a.p_partkey, b.p_partkey AS position, a.loose, a.strict FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.strict = b.strict WHERE b.p_partkey % 97 = 0""",
+        SELECT a.p_partkey, b.p_partkey AS position, a.loose, a.strict FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.strict = b.strict WHERE b.p_partkey % 50 = 0""",
     "candidate_filter": """
         SELECT 'case' AS source_type, o_orderkey AS record, d AS date
         FROM (SELECT *, CASE WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders)
@@ -144,7 +144,7 @@ ORACLE_SQL = {
         SELECT 'case' AS source_type, o_orderkey AS record FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey IN (3, 5))
         UNION ALL SELECT 'law', -s_suppkey FROM supplier WHERE s_suppkey IN (3, 5)""",
     "related_expand": """
-        WITH d AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 50 = 0),
+        WITH d AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
         r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey)::INT AS rank FROM d QUALIFY rank <= 3),
         b AS (SELECT p_brand, count(*) AS brand_parts FROM part GROUP BY p_brand)
         SELECT r.l_orderkey, r.l_partkey, p.p_name, p.p_brand AS brand, b.brand_parts, r.rank FROM r JOIN part p ON p.p_partkey = r.l_partkey JOIN b ON b.p_brand = p.p_brand""",

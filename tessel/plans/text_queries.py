@@ -17,11 +17,6 @@ def token_count(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("n_tokens"))
 
 
-def passage_threshold(spark, sf_dir):
-    counted = token_count(spark, sf_dir)
-    return counted.where("n_tokens > 1600").select("doc_id", "n_tokens", F.ceil((F.col("n_tokens") - 100) / 700).cast("int").alias("at_least_passages"))
-
-
 def normalize_lines(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_lines(F.concat(F.lit("  \r\n\t"), F.replace(F.col("text"), F.lit(". "), F.lit(" \t\n\n ")))), 256).alias("sha"))
 
@@ -56,6 +51,7 @@ def date_normalize(spark, sf_dir):
 
 
 def stable_ids(spark, sf_dir):
+    """Ids of spans, which by their definition take the first 80 characters of a text, and of relations, which take it whole (P20)."""
     docs = read(spark, sf_dir, "documents")
     return docs.select("doc_id", T.stable_id(F.col("source"), F.col("doc_id").cast("string"), F.substring("text", 1, 80)).alias("span_id"), T.relation_id("law_relation", F.col("lang"), F.col("text")).alias("relation_id"))
 
@@ -63,12 +59,12 @@ def stable_ids(spark, sf_dir):
 def text_conflicts(spark, sf_dir):
     from ..operators.integrity import conflicts
 
-    docs = read(spark, sf_dir, "documents").select(F.substring("text", 1, 12).alias("opening"), "lang", F.col("n_chars"))
-    return conflicts(docs, ["opening"], ["lang", "n_chars"]).withColumn("fields", F.array_join("fields", ","))
+    docs = read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha"), "lang", "source", "n_chars")
+    return conflicts(docs, ["sha"], ["lang", "source", "n_chars"]).withColumn("fields", F.array_join("fields", ","))
 
 
 def ordered_distinct(spark, sf_dir):
-    words = F.slice(F.split("text", " "), 1, 40)
+    words = F.split("text", " ")
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.ordered_distinct(words), " ").alias("words"), F.array_join(T.merged_distinct(F.split("lang", ""), F.split("source", ""), 5), "").alias("letters"))
 
 
@@ -79,18 +75,9 @@ def chinese_numbers(spark, sf_dir):
     return read(spark, sf_dir, "nation").select("n_nationkey", T.chinese_number(F.concat(F.lit("三百"), F.when(F.col("n_nationkey").between(1, 9), F.lit("零")).otherwise(F.lit("")), F.when(F.col("n_nationkey").between(10, 19), F.concat(F.lit("一"), name)).otherwise(name))).alias("number"))
 
 
-def segment_by_heading(spark, sf_dir):
-    """Lines of a document with their running offsets: each is a unit that begins where the ones before end."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
-    from pyspark.sql import Window
-
-    before = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    return docs.select("doc_id", "seq", F.coalesce(before, F.lit(0)).alias("char_start"), F.length("line").alias("n_chars"), F.sha1("line").alias("sha"))
-
-
 QUERIES = {
     f.__name__: f
-    for f in (token_count, passage_threshold, normalize_lines, excerpt, bounded_text, html_plain_text, keyword_rules, jurisdiction_map, date_normalize, stable_ids, text_conflicts, ordered_distinct, chinese_numbers, segment_by_heading)
+    for f in (token_count, normalize_lines, excerpt, bounded_text, html_plain_text, keyword_rules, jurisdiction_map, date_normalize, stable_ids, text_conflicts, ordered_distinct, chinese_numbers)
 }
 
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -121,7 +108,6 @@ _DATES = "['%d.%m.%Y', '%d-%m-%Y', '%Y-%m-%d', '%d/%m/%Y']"
 
 ORACLE_SQL = {
     "token_count": _COUNTED,
-    "passage_threshold": f"SELECT doc_id, n_tokens, ceil((n_tokens - 100) / 700)::INT AS at_least_passages FROM ({_COUNTED}) WHERE n_tokens > 1600",
     "normalize_lines": "SELECT doc_id, sha256(" + _lines("'  ' || chr(13) || chr(10) || chr(9) || replace(text, '. ', ' ' || chr(9) || chr(10) || chr(10) || ' ')") + ") AS sha FROM documents",
     "excerpt": f"""
         SELECT doc_id, CASE WHEN length({_PLAIN}) > 120 THEN rtrim({_PLAIN}[1:120]) || '…' ELSE {_PLAIN} END AS excerpt,
@@ -138,16 +124,14 @@ ORACLE_SQL = {
     "stable_ids": """
         SELECT doc_id, sha1(source || '::' || doc_id || '::' || text[1:80])[1:16] AS span_id, 'law_relation:' || sha256(lang || '::' || text)[1:20] AS relation_id FROM documents""",
     "text_conflicts": """
-        SELECT opening, n_rows, n_versions, concat_ws(',', CASE WHEN l > 1 THEN 'lang' END, CASE WHEN c > 1 THEN 'n_chars' END) AS fields FROM (
-            SELECT text[1:12] AS opening, count(*) AS n_rows, count(DISTINCT (lang, n_chars)) AS n_versions, count(DISTINCT lang) AS l, count(DISTINCT n_chars) AS c FROM documents GROUP BY 1)
+        SELECT sha, n_rows, n_versions, concat_ws(',', CASE WHEN l > 1 THEN 'lang' END, CASE WHEN s > 1 THEN 'source' END, CASE WHEN c > 1 THEN 'n_chars' END) AS fields FROM (
+            SELECT sha256(text) AS sha, count(*) AS n_rows, count(DISTINCT (lang, source, n_chars)) AS n_versions, count(DISTINCT lang) AS l, count(DISTINCT source) AS s, count(DISTINCT n_chars) AS c FROM documents GROUP BY 1)
         WHERE n_versions > 1""",
     "ordered_distinct": f"""
-        WITH w AS (SELECT doc_id, list_filter(list_transform(list_slice(string_split(text, ' '), 1, 40), lambda x: regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g')), lambda x: x <> '') AS w,
-                          list_concat(string_split(lang, ''), string_split(source, '')) AS c FROM documents)
-        SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS words,
-               array_to_string(list_slice(list_filter(c, lambda x, i: list_position(c, x) = i), 1, 5), '') AS letters FROM w""",
+        WITH w AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(text, ' ') AS s FROM documents)),
+        f AS (SELECT doc_id, x, min(i) AS i FROM (SELECT doc_id, i, regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS x FROM w) WHERE x <> '' GROUP BY doc_id, x),
+        g AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS words FROM f GROUP BY doc_id),
+        c AS (SELECT doc_id, list_concat(string_split(lang, ''), string_split(source, '')) AS c FROM documents)
+        SELECT c.doc_id, coalesce(words, '') AS words, array_to_string(list_slice(list_filter(c.c, lambda x, i: list_position(c.c, x) = i), 1, 5), '') AS letters FROM c LEFT JOIN g ON g.doc_id = c.doc_id""",
     "chinese_numbers": "SELECT n_nationkey, (300 + n_nationkey)::INT AS number FROM nation",
-    "segment_by_heading": """
-        SELECT doc_id, (i - 1)::INT AS seq, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start, length(line)::INT AS n_chars, sha1(line) AS sha
-        FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",
 }

@@ -57,3 +57,6 @@ def test_search_and_evidence(spark, index):
 def test_related_and_catalogue(spark, index):
     assert [r["unit_id"] for r in index.related(spark.createDataFrame([("r", "c1")], "request_id string, case_id string"), 5).collect()] == ["u6"]
     assert [(r["title"], r["examples"]) for r in index.catalogue().collect()] == [("PIPL", {"article": "第十三条"}), ("GDPR", {"article": "Article 6"})]
+    assert [tuple(r) for r in index.extent().collect()] == [(["Spain"], ["ES"], None, None)]
+    with pytest.raises(ValueError, match="of 32 numbers"):
+        Index(index.spark, index.table("laws").inputFiles()[0].split("/v-")[0], hash_embedder(16), "hash")

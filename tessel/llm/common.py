@@ -50,7 +50,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/tessel-{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/tessel-{name}-{uuid.uuid4().hex}", []
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -58,6 +58,7 @@ class Scratch:
     def table(self, name: str, df: DataFrame) -> DataFrame:
         with dropped_shuffles(self.spark):
             df.write.parquet(self.path(name))
+        self.made.append(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -151,14 +152,14 @@ class WordIds:
 
 
 def input_bytes(docs: DataFrame) -> int:
-    """What the optimizer takes a plan's size to be: of tables that are read, the bytes of their files."""
-    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """What the optimizer takes a plan's size to be: of tables that are read, the bytes of their files; 0 if it is not known."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 56 else 0
 
 
 def tasks_for(spark: SparkSession, docs: DataFrame, each: int, most: int = 1 << 17) -> int:
-    """Tasks of about `each` bytes of files; not fewer than the shuffle partitions, nor more than `most` (an unknown size is taken as endless)."""
-    size = input_bytes(docs)
-    return max(partitions(spark), -(-size // each) if size < 1 << 50 else 0) if size // each < most else most
+    """Tasks of about `each` bytes of files, and not fewer than the shuffle partitions."""
+    return max(partitions(spark), min(most, -(-input_bytes(docs) // each)))
 
 
 def binary(chunks: list[bytes]) -> pa.Array:

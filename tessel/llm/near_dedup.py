@@ -7,22 +7,28 @@ so all pairs under that distance share one. With 13 chunks of 6 symbols and one
 similarity 0.8 is met with probability 1 - 0.345^13, that is 1 - 1e-6.
 
 1. Documents with the same shingle set are one class. Each class has one signature.
-2. Each key's classes are tied to the key's smallest one (a star, never all pairs), and the
-   stars' connected components are clusters: classes that share a key, directly or in
-   a chain. The smallest class of a key is summed before the shuffle.
+2. Of a key's classes those are tied whose signatures differ in no more symbols than pairs at the
+   wanted similarity do (all but one in a million of them), so classes that only
+   share a key by chance stay apart. A key of more than `group` classes ties them all to its smallest
+   one instead (a star, never all pairs), which is summed before the shuffle.
+   Connected components of these ties are clusters.
 3. Inside a cluster the full sets are compared by inverted lists, and the links found are those
-   of a spanning forest. A cluster above `block` classes is split by set size (linked sets differ
-   by at most 0.8 in size) and hash into blocks, one task for each pair of blocks, so no task
-   holds more than two blocks.
+   of a spanning forest. A cluster above `block` classes or `block_shingles` shingles is split by
+   set size (linked sets differ by at most 0.8 in size) and hash into blocks, one task for each pair
+   of blocks, so no task holds more than two blocks.
 4. Components of the links give the smallest doc_id reachable.
 
+Shingles are 64-bit hashes of words, and a class is known by the hash of its set: two different
+sets are taken for one with probability 2^-64 a pair.
+
 Nulls: a null text has no words; documents without words are linked with nothing and
 are their own component. A null id is reported, and counts as no id when the smallest is
-taken. Rows that repeat an id are reported as often. Other columns are not read.
+taken. Rows that repeat an id are reported as often. Other columns are not read, so their names don't matter.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,7 +41,7 @@ from .common import Scratch, binary, lists, slices, utf8
 from .components import connected_components
 from .words import SPACED, U, mix, shingles, words
 
-CHUNKS, WIDTH, ERRORS, BLOCK = 13, 6, 1, 2048
+CHUNKS, WIDTH, ERRORS, GROUP, BLOCK, BLOCK_SHINGLES = 13, 6, 1, 128, 2048, 4 << 20
 FILTER_BITS = 1 << 22
 _rng = np.random.default_rng(8)
 _PERM = _rng.integers(1, 2**63, 512, dtype=np.uint64) * U(2) + U(1)
@@ -86,14 +92,74 @@ def _features(k: int, chunks: int, width: int, errors: int):
                 met.clear()
             per = np.zeros(len(count), np.int64)
             keys = np.zeros(0, np.int64)
+            signed: list[bytes | None] = [None] * len(count)
             if first:
                 chosen = np.zeros(len(some), bool)
                 chosen[first] = True
                 mask = np.repeat(chosen, count[some])
-                keys = chunk_keys(signatures(found[mask], count[some][chosen], chunks * width), chunks, width, errors)
+                own = signatures(found[mask], count[some][chosen], chunks * width)
+                for i, raw in zip(some[chosen].tolist(), own.astype("<u2"), strict=True):
+                    signed[i] = raw.tobytes()
+                keys = chunk_keys(own, chunks, width, errors)
                 per[some[chosen]] = keys.shape[1]
                 keys = keys.reshape(-1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(count, pa.int64()), pa.array(sets.tolist(), pa.int64()), lists(keys, per, pa.int64())], names=["id", "n", "h", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(count, pa.int64()), pa.array(sets.tolist(), pa.int64()), lists(keys, per, pa.int64()), pa.array(signed, pa.binary())], names=["id", "n", "h", "keys", "sig"])
+
+    return run
+
+
+def farthest(symbols: int, share: int) -> int:
+    """Symbols in which the signatures of a pair at the wanted similarity differ at most, but for about one pair in a million."""
+    miss = 1 - share / 100
+    chance, left, d = (1 - miss) ** symbols, 1.0, 0
+    while True:
+        left -= chance
+        if left < 1e-6 or d == symbols:
+            return d
+        chance *= (symbols - d) / (d + 1) * miss / (1 - miss) if miss < 1 else 0.0
+        d += 1
+
+
+def _ties(most: int):
+    """From (key, h, sig) sorted by key, ties (a, b) of classes within a key: a spanning forest of those whose signatures are near."""
+
+    def near(h: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
+        h, first = np.unique(h, return_index=True)
+        close = (sig[first][:, None, :] != sig[first][None, :, :]).sum(axis=2) <= most
+        label = np.arange(len(h))
+        while True:  # the smallest label among a class's near ones, until none changes
+            new = np.where(close, label[None, :], len(h)).min(axis=1)
+            if (new == label).all():
+                return [(int(h[r]), int(h[i])) for i, r in enumerate(label.tolist()) if i != r]
+            label = new
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, ...] = ()
+
+        def ties(key: np.ndarray, h: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(begin, len(key)))
+            two = begin[size == 2]
+            two = two[((sig[two] != sig[two + 1]).sum(axis=1) <= most) & (h[two] != h[two + 1])]
+            out = [np.stack([np.minimum(h[two], h[two + 1]), np.maximum(h[two], h[two + 1])], axis=1)]
+            for a, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                out.append(np.array(near(h[a : a + n], sig[a : a + n]), np.int64).reshape(-1, 2))
+            every = np.unique(np.concatenate(out), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, h = batch.column("key").to_numpy(), batch.column("h").to_numpy()
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(len(key), -1)
+            if held:
+                key, h, sig = (np.concatenate(x) for x in zip(held, (key, h, sig), strict=True))
+            last = int(np.searchsorted(key, key[-1], "left"))  # the last key may go on in the next batch
+            if last:
+                yield ties(key[:last], h[:last], sig[:last])
+            held = (key[last:], h[last:], sig[last:])
+        if held:
+            yield ties(*held)
 
     return run
 
@@ -170,23 +236,29 @@ def _verify(share: int):
     return run
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, share: int = 80, chunks: int = CHUNKS, width: int = WIDTH, errors: int = ERRORS, block: int = BLOCK) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, share: int = 80, chunks: int = CHUNKS, width: int = WIDTH, errors: int = ERRORS, group: int = GROUP, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
     scratch = Scratch(spark, "near")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    feat = scratch.table("features", source.mapInArrow(_features(k, chunks, width, errors), "id bigint, n bigint, h bigint, keys array<bigint>"))
+    feat = scratch.table("features", source.mapInArrow(_features(k, chunks, width, errors), "id bigint, n bigint, h bigint, keys array<bigint>, sig binary"))
     classes = feat.where("h is not null").groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
 
     bands = feat.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "h")
-    hubs = bands.groupBy("key").agg(F.min("h").alias("hub"), F.max("h").alias("last")).where("hub <> last").select("key", "hub")
-    stars = scratch.table("stars", bands.join(hubs.hint("shuffle_hash"), "key").where("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct())
+    hubs = bands.groupBy("key").agg(F.min("h").alias("hub"), F.max("h").alias("last"), F.count(F.lit(1)).alias("m")).where("hub <> last").select("key", "hub", "m")
+    met = scratch.table("met", bands.join(hubs.hint("shuffle_hash"), "key"))
+    stars = met.where(F.col("m") > group).where("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b"))
+    signed = feat.where("sig is not null").groupBy("h").agg(F.first("sig").alias("sig"))
+    few = met.where(F.col("m") <= group).select("key", "h").join(signed, "h").repartition("key").sortWithinPartitions("key")
+    stars = scratch.table("stars", stars.unionByName(few.mapInArrow(_ties(farthest(chunks * width, share)), "a bigint, b bigint")).distinct())
+    scratch.drop("met")
     clusters = scratch.table("clusters", connected_components(spark, scratch, stars, "stars-cc"))
 
     level = F.floor(F.log("n") / F.log(F.lit(100.0 / share))).cast("int")
     nodes = scratch.table("nodes", clusters.join(classes, clusters.node == classes.h).select("h", "root", "rep", "n", level.alias("level")))
-    totals = nodes.groupBy("root").agg(F.count("*").alias("total"))
-    small = nodes.join(totals.where(F.col("total") <= block), "root").select("h", "root", F.lit("").alias("pair"))
-    levels = nodes.join(totals.where(F.col("total") > block), "root").groupBy("root", "level").agg(F.ceil(F.count("*") / block).cast("int").alias("subs"))
+    totals = nodes.groupBy("root").agg(F.count("*").alias("total"), F.sum("n").alias("shingles")).withColumn("large", (F.col("total") > block) | (F.col("shingles") > block_shingles))
+    small = nodes.join(totals.where("not large"), "root").select("h", "root", F.lit("").alias("pair"))
+    subs = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
+    levels = nodes.join(totals.where("large"), "root").groupBy("root", "level").agg(subs.alias("subs"))
     blocks = levels.select("root", "level", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
     own = nodes.join(levels, ["root", "level"]).select("h", "root", "level", F.pmod(F.xxhash64("h"), "subs").cast("int").alias("sub"))
     other = blocks.select("root", F.col("level").alias("level2"), F.col("sub").alias("sub2"))
@@ -199,13 +271,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     sets = source.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))).mapInArrow(_sets(k, bits), "h bigint, shingles binary")
     found = tasks.join(sets, "h").select("root", "pair", "h", "shingles").groupBy("root", "pair").applyInArrow(_verify(share), "a bigint, b bigint")
     links = scratch.table("links", found.distinct())
-    joined = scratch.table("joined", connected_components(spark, scratch, links, "links-cc"))
+    joined = connected_components(spark, scratch, links, "links-cc")
 
     member = joined.join(nodes.select("h", "rep"), joined.node == F.col("h")).select("h", "root", "rep")
     smallest = member.groupBy("root").agg(F.min("rep").alias("component"))
     grouped = member.join(smallest, "root").select("h", "component")
     # written, so the last join has plain sides and AQE can split the class of many copies
     label = scratch.table("labels", classes.select("h", "rep").join(grouped, "h", "left").select("h", F.coalesce("component", "rep").alias("component")))
+    scratch.drop("stars", "clusters", "nodes", "links", *(t for t in scratch.made if t.startswith(("stars-cc", "links-cc"))))
     out = feat.select("id", "n", "h").join(label, "h", "left")
     component = F.when(F.col("h").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -10,7 +10,8 @@ by expectation-maximisation: a tenth of the documents that train (crc32 remainde
 deleted from the counts and explained by the counts of the rest. Scores then use the
 counts of all training documents.
 
-Counting is a request and an answer. Documents are dealt into chunks by a hash. A chunk asks for
+Counting is a request and an answer. Documents are dealt into chunks by a hash, as many as the bytes of
+the table need, so a chunk does not grow with the input (rows equal in id and text share one). A chunk asks for
 the counts of its distinct words and word pairs, once each and with its own share of them, in one
 block for each bucket of the key space; a bucket's task sums the shares of all chunks and
 answers each chunk in the order it asked. So a word of a third of all tokens is one entry a chunk,
@@ -30,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, runs, utf8
+from .common import Scratch, runs, tasks_for, utf8
 from .words import SPACED, U, mix, rows_of, words
 
 END = U(0x5851F42D4C957F2D)
+#: Bytes of files whose counts share a bucket of the key space, and whose documents share a chunk: their tokens take some twenty times as much in memory.
+BUCKET_BYTES, CHUNK_BYTES = 16 << 20, 6 << 20
 ASK = "bucket int, chunk int, n bigint, keys binary, core binary, deleted binary"
 ANSWER = "chunk int, bucket int, core binary, deleted binary, tokens bigint, types bigint"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -237,8 +240,8 @@ def fit_weights(held: DataFrame, tokens: int, types: int, *, steps: int = 20, cl
 def interpolated_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, chunks: int | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
     scratch = Scratch(spark, "lm")
-    buckets = partitions(spark)
-    n = chunks or 3 * buckets  # a chunk's tokens take some twenty times its text in memory
+    buckets = tasks_for(spark, docs, BUCKET_BYTES)
+    n = chunks or max(3 * buckets, tasks_for(spark, docs, CHUNK_BYTES))
     few = max(1, n // 8)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("remainder", (F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 10).cast("int"))
@@ -252,4 +255,5 @@ def interpolated_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc
     deleted = source.where("remainder = 1").groupBy("chunk").cogroup(replies.where(F.col("chunk") >= n).groupBy("chunk"))
     held = deleted.applyInArrow(_held(buckets), "b int, vw bigint, v bigint, w bigint, n bigint")
     weights = fit_weights(scratch.table("held", held.groupBy("b", "vw", "v", "w").agg(F.sum("n").alias("n"))), tokens, types)
+    scratch.drop("held")
     return source.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(buckets, tokens, types, weights), SCORES)

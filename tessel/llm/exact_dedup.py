@@ -7,6 +7,8 @@
    spill files by bits of the digest, again and again, until a part fits; a part whose
    rows all share a digest is read as a stream, since it holds copies of one text.
    The table compares complete contents; equal digests alone join nothing.
+   A digest of more than `hot_blocks` rows is reduced in two steps: its rows are first dealt to
+   `SALTS` tasks, and one row of each group found there meets those of the other tasks.
 3. Each block's row takes its group's result by the row's own number, so the copies of
    one text are spread over as many keys as there were blocks.
 
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, slices
 
 BLOCKS = "uid string, sha string, text string, ids array<bigint>"
-GROUPS = "uid string, keep_id bigint, group_size bigint, text_sha256 string"
+GROUPS = "uid string, keep_id bigint, group_size bigint, text_sha256 string, rep string"
 MEMORY_BYTES = 48 << 20
+HOT_BLOCKS, SALTS = 10_000, 256
 
 
 class ContentTable:
@@ -181,14 +184,14 @@ def _groups(memory_bytes: int):
         out: list[tuple] = []
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["uid", "keep_id", "group_size", "text_sha256"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["uid", "keep_id", "group_size", "text_sha256", "rep"])
 
         os.makedirs(tempfile.gettempdir(), exist_ok=True)
         for members in grace(rows(), memory_bytes):
             keep, size = None, 0
             for _, _, largest, copies in members:
                 keep, size = _larger(keep, largest), size + copies
-            out += [(uid, keep, size, sha) for uid, sha, _, _ in members]
+            out += [(uid, keep, size, sha, members[0][0]) for uid, sha, _, _ in members]
             if len(out) >= 4096:
                 yield flush()
                 out = []
@@ -198,7 +201,7 @@ def _groups(memory_bytes: int):
     return run
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, normalize=None, memory_bytes: int = MEMORY_BYTES) -> DataFrame:
+def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, normalize=None, memory_bytes: int = MEMORY_BYTES, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal (optionally normalised) texts the row with the largest id stays; of rows that
@@ -207,8 +210,18 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     scratch = Scratch(spark, "exact")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks = scratch.table("blocks", source.mapInArrow(_blocks(memory_bytes, normalize), BLOCKS))
-    dealt = blocks.select("uid", "sha", F.array_max("ids").alias("largest"), F.size("ids").cast("long").alias("copies"), "text").repartition("sha")
-    groups = dealt.mapInArrow(_groups(memory_bytes), GROUPS)
+    rows = blocks.select("uid", "sha", F.array_max("ids").alias("largest"), F.size("ids").cast("long").alias("copies"), "text")
+    hot = scratch.table("hot", blocks.groupBy("sha").agg(F.count("*").alias("n")).where(F.col("n") > hot_blocks).select("sha"))
+    if hot.head(1):
+        own = rows.join(hot, "sha", "left_semi").select(*rows.columns).repartition("sha", F.pmod(F.xxhash64("uid"), F.lit(SALTS)))
+        parts = scratch.table("parts", own.mapInArrow(_groups(memory_bytes), GROUPS))
+        one = parts.where("uid = rep").select("uid", F.col("text_sha256").alias("sha"), F.col("keep_id").alias("largest"), F.col("group_size").alias("copies")).join(blocks.select("uid", "text"), "uid")
+        whole = one.select(*rows.columns).repartition("sha").mapInArrow(_groups(memory_bytes), GROUPS).select(F.col("uid").alias("rep"), "keep_id", "group_size", "text_sha256")
+        wide = parts.select("uid", "rep").join(whole, "rep").select("uid", "keep_id", "group_size", "text_sha256")
+        rest = rows.join(hot, "sha", "left_anti").select(*rows.columns)
+        groups = rest.repartition("sha").mapInArrow(_groups(memory_bytes), GROUPS).drop("rep").unionByName(wide)
+    else:
+        groups = rows.repartition("sha").mapInArrow(_groups(memory_bytes), GROUPS).drop("rep")
     return (
         blocks.select("uid", "ids")
         .join(groups, "uid")

@@ -249,5 +249,6 @@ def importance_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, i
     least = -math.inf if least is None else least
     if not rows:
         return scores.withColumn("kept", F.coalesce(F.col("sample_key") >= least, F.lit(False)))
+    scratch.drop("scores")
     drawn = weighted(docs, model, value, id_col, text_col, seed, temperature)
     return drawn.where(F.col(_free(docs, "sample_key")) >= least).select(*docs.columns)

@@ -26,6 +26,15 @@ def test_exact_against_brute_force(spark, documents):
     assert got == sorted(f"Row(doc_id={a}, keep_id={b}, group_size={c}, kept={d}, text_sha256='{e}')" for a, b, c, d, e in want)
 
 
+def test_exact_in_two_steps_for_hot_texts(spark, documents):
+    rng = random.Random(21)
+    rows = [(i, "hot" if i % 3 else rng.choice(["warm", "b", f"only {i}", "c" * 400])) for i in range(600)] + [(None, "hot"), (None, None), (601, "")]
+    key = lambda r: (str(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"], r["text_sha256"])
+    one = sorted(map(str, map(key, exact_dedup(spark, documents(rows).repartition(5), memory_bytes=2_000).collect())))
+    two = sorted(map(str, map(key, exact_dedup(spark, documents(rows).repartition(5), memory_bytes=2_000, hot_blocks=1).collect())))
+    assert one == two and len(one) == len(rows)
+
+
 def test_exact_empty_table(spark, documents):
     assert exact_dedup(spark, documents([])).collect() == []
 
@@ -113,3 +122,30 @@ def test_components_of_a_long_path_and_a_star(spark):
     df = spark.createDataFrame(links, "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(spark, Scratch(spark, "test"), df, "t").collect()}
     assert got == {**{i: 0 for i in range(60)}, **{1000 + i: 1000 for i in range(50)}}
+
+
+def test_near_pairs_at_the_edge_are_all_found(spark, documents):
+    """Pairs at a similarity of 0.8 to 0.84 over their shingles, and as many at 0.6 that must not be linked."""
+    rng = random.Random(22)
+    rows, want = [], {}
+    for i in range(300):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+        cut = 11 if i % 2 else 25  # words replaced at the end, each of which takes a shingle
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-cut] + [f"v{rng.randrange(10**9)}" for _ in range(cut)]))]
+        shared, union = 101 - cut, 101 + cut
+        want[2 * i + 1] = 2 * i if 100 * shared >= 80 * union else 2 * i + 1
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup(spark, documents(rows), k=4, share=80).collect()}
+    assert {d: got[d] for d in want} == want and set(want.values()) - set(want)
+
+
+@pytest.mark.parametrize("limits", [dict(group=2), dict(block_shingles=300), dict(group=1, block=3)])
+def test_near_is_the_same_at_any_bounds(spark, documents, limits):
+    rng = random.Random(23)
+    base = [[f"w{rng.randrange(500)}" for _ in range(60)] for _ in range(6)]
+    rows = []
+    for i in range(120):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    assert sorted((tuple(r) for r in near_dedup(spark, documents(rows), k=4, **limits).collect()), key=str) == _near_brute(rows, 4, 80)

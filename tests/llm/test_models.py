@@ -244,6 +244,12 @@ def test_candidates_that_look_like_rule_spans_are_added(spark, documents):
     assert not any(r["n_added"] for r in found if r["doc_id"] % 4 in (2, 3))
 
 
+def test_repeated_rows_have_the_same_spans(spark, documents):
+    rows = [(1, "a@b.c and 1.2.3.4"), (1, "a@b.c and 1.2.3.4"), (1, "+1 275 555 2469"), (None, None), (None, None)]
+    got = sorted((str(r["doc_id"]), r["spans"]) for r in pii.personal_data(spark, documents(rows)).collect())
+    assert got == [("1", "email:0:5,ip:10:17"), ("1", "email:0:5,ip:10:17"), ("1", "phone:0:15"), ("None", ""), ("None", "")]
+
+
 MASKED = ["jane.doe at example.com", "jane@example(dot)com", "jane@example [dot] com", "jane@example dot com", "jane at example dot com", "jane (at) example (dot) com"]
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import folded, match_key, strict_key
 
@@ -28,24 +31,57 @@ def best_score(vector: Column, queries: Sequence[Sequence[float]]) -> Column:
     return scores[0] if len(scores) == 1 else F.greatest(*scores)
 
 
-def scores_by_request(vectors: DataFrame, requests: DataFrame, request: str, vector: str = "embedding", query: str = "query", most_requests: int = 10_000) -> DataFrame:
+#: Bytes of request vectors that travel to the tasks at once.
+REQUEST_BYTES = 64 << 20
+
+
+def scores_by_request(vectors: DataFrame, requests: DataFrame, request: str, vector: str = "embedding", query: str = "query", most_bytes: int = REQUEST_BYTES) -> DataFrame:
     """The best score of each vector for each request of a table (request, query vector), both kept apart by request.
 
-    Every vector meets every request, as an exact scan must; the request side is broadcast after its
-    size is checked, in blocks if it has more rows than the bound.
+    Every vector meets every request, as an exact scan must: a batch of vectors is multiplied with all request vectors at
+    once, in double precision. The request vectors are broadcast in blocks of at most so many bytes, each a scan of its own;
+    a request's vectors stay in one block. A null vector or request is left out.
     """
-    n = requests.count()
-    if n > most_requests:
-        blocks = -(-n // most_requests)
-        parts = [scores_by_request(vectors, requests.where(F.pmod(F.xxhash64(request), F.lit(blocks)) == b), request, vector, query, n) for b in range(blocks)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    side = requests.groupBy(request).agg(F.collect_list(query).alias("_q"))
-    paired = vectors.join(F.broadcast(side), F.lit(True))
-    best = F.array_max(F.transform("_q", lambda q: dot(F.col(vector), q)))
-    return paired.withColumn("score", best).drop("_q", vector)
+    spark = vectors.sparkSession
+    kept = [c for c in vectors.columns if c != vector]
+    kinds, named = dict(vectors.dtypes), requests.schema[request].dataType
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), f"`{request}` {named.simpleString()}", "score double"])
+
+    def blocks() -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        own, first, rows, last = [], [], [], object()
+        ordered = requests.where(F.col(request).isNotNull() & F.col(query).isNotNull()).select(request, query).orderBy(request)
+        for r in ordered.toLocalIterator():
+            if r[0] != last and rows and 8 * sum(map(len, rows)) > most_bytes:
+                yield own, np.array(first), np.array(rows, np.float64)
+                own, first, rows = [], [], []
+            if r[0] != last or not own:
+                own.append(r[0])
+                first.append(len(rows))
+                last = r[0]
+            rows.append(r[1])
+        if rows:
+            yield own, np.array(first), np.array(rows, np.float64)
+
+    def scored(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, first, asked = held.value
+            step = max(1, (4 << 20) // (8 * len(asked)))  # rows of a product of 4 MB
+            for whole in batches:
+                whole = whole.filter(whole.column(vector).is_valid())
+                for at in range(0, whole.num_rows, step):
+                    b = whole.slice(at, step)
+                    matrix = b.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                    best = np.maximum.reduceat(matrix @ asked.T, first, axis=1)
+                    rows = np.repeat(np.arange(b.num_rows), len(own))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in kept), pa.array(own * b.num_rows, to_arrow_type(named)), pa.array(best.reshape(-1))], names=[*kept, request, "score"])
+
+        return run
+
+    out: DataFrame | None = None
+    for block in blocks():
+        part = vectors.mapInArrow(scored(spark.sparkContext.broadcast(block)), schema)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def top(rows: DataFrame, request: Sequence[str], score: str, tie: str, limit: int) -> DataFrame:

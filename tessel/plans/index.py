@@ -118,14 +118,16 @@ class Index:
         rows = found.join(citations.select("request_id", "doc_id", "wanted", "position"), ["doc_id", "wanted", "position"])
         return ranking.first_wins(rows.select("request_id", "unit_id", "position", F.lit(1.0).alias("score")), ["request_id", "unit_id"], "position")
 
-    def search(self, requests: Sequence[tuple[str, str]], keep: Column | None = None, limit: int = 20) -> DataFrame:
-        """The diverse best `limit` documents of each request, with their passages (Q3). requests: (request_id, query text), repeats and blanks are left out."""
+    def search(self, requests: Sequence[tuple[str, str]], keep: Column | None = None, limit: int = 20, among: DataFrame | None = None) -> DataFrame:
+        """The diverse best `limit` documents of each request, with their passages (Q3). requests: (request_id, query text), repeats and blanks are left out; among: a table of the record_ids that may be found."""
         asked = list(dict.fromkeys((r, q.strip()) for r, q in requests if q.strip()))
         if not asked:
             return self.spark.createDataFrame([], "request_id string, evidence_id string, source_type string, record_id string, score double, rank int, passages array<string>")
         vectors = self.embed([q for _, q in asked])
         side = self.spark.createDataFrame([(r, [float(x) for x in v]) for (r, _), v in zip(asked, vectors, strict=True)], "request_id string, query array<double>")
         documents = self.table("vectors") if keep is None else self.table("vectors").where(keep)
+        if among is not None:
+            documents = documents.join(among.select("record_id").distinct(), "record_id", "left_semi")
         scored = retrieval.scores_by_request(documents.select("evidence_id", "source_type", "record_id", "embedding"), side, "request_id")
         ranked = ranking.diverse_top(scored, ["request_id"], "source_type", "score", "evidence_id", limit)
         parents = ranked.select("request_id", F.col("evidence_id").alias("parent_id"))

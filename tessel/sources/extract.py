@@ -236,8 +236,8 @@ def file_text(name: str, content: bytes) -> str:
     return readers[suffix](content.decode("utf-8", "replace"))
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of the files of a folder."""
+def read_file_list(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, text) of files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,7 +245,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
             texts = [file_text(n, c.as_py() or b"") for n, c in zip(names, b.column("content"), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["path", "text"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, text string")
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "path string, text string")
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of the files of a folder."""
+    return read_file_list(spark, path)
 
 
 REVISIONS = "path string, section string, uri string, title string, status string, effective_from string, effective_to string, restricted_from string, has_omitted_parts boolean, commentaries array<struct<ref:string,text:string>>"
@@ -253,6 +258,11 @@ REVISIONS = "path string, section string, uri string, title string, status strin
 
 def read_revisions(spark: SparkSession, path: str) -> DataFrame:
     """A row for each section of the statutes among the XML files of a folder, with its status and dates."""
+    return read_revision_list(spark, path)
+
+
+def read_revision_list(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The same for some files or folders."""
     schema = pa.schema([(n, pa.string()) for n in ("path", "section", "uri", "title", "status", "effective_from", "effective_to", "restricted_from")] + [("has_omitted_parts", pa.bool_()), ("commentaries", pa.list_(pa.struct([("ref", pa.string()), ("text", pa.string())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +270,7 @@ def read_revisions(spark: SparkSession, path: str) -> DataFrame:
             rows = [{"path": n, **r} for n, c in zip(b.column("path").to_pylist(), b.column("content"), strict=True) for r in british_revisions(ElementTree.fromstring(c.as_py()))]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path).select("path", "content").mapInArrow(run, REVISIONS)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(paths).select("path", "content").mapInArrow(run, REVISIONS)
 
 
 def pagination_urls(html: str, base: str) -> list[str]:

@@ -52,3 +52,21 @@ def test_command_line(spark, base, tmp_path):
     assert [r["doc_id"] for r in go("catalogue", str(tmp_path / "index"))] == ["d1"]
     with pytest.raises(SystemExit):
         parser().parse_args(["query", "i", "t", "--top", "0"])
+    with pytest.raises(SystemExit):
+        parser().parse_args(["serve", "i", "--port", "0"])
+    assert go("smoke", str(tmp_path / "index"))["ok"]
+
+
+def test_command_line_from_catalogues(spark, base, tmp_path):
+    go = lambda *args: run(spark, parser().parse_args(list(args)))
+    (tmp_path / "law.txt").write_text("HAVE ADOPTED\nArticle 1\nx\nArticle 2\ny")
+    entry = "".join(f'{k} = "{v}"\n' for k, v in {"doc_id": "d", "title": "T", "jurisdiction": "EU", "law_family": "eu_gdpr", "source_type": "s", "version_date": "2020", "effective_date": "", "language": "en", "url": "u", "preferred_format": "txt", "target_path": str(tmp_path / "law.txt")}.items())
+    (tmp_path / "c.toml").write_text(f"[[sources]]\n{entry}")
+    assert go("describe", str(tmp_path / "c.toml"))["source_count"] == 1
+    assert go("documents", str(tmp_path / "c.toml"), "--out", str(tmp_path / "docs"))["rows"] == 1
+    assert go("units", str(tmp_path / "c.toml"), "--out", str(tmp_path / "units"))["rows"] == 2
+    with pytest.raises(SystemExit):
+        parser().parse_args(["units", "c.toml"])
+    sample = {"id": "s1", "split": "dev", "task": "compare", "query": "q", "language": "en", "difficulty": "easy", "retrieval_k": 5, "relevance": [{"evidence_id": "case:c1", "grade": 3, "required": True, "rationale": "w"}], "coverage_groups": [], "expected_limitations": [], "tags": [], "annotation": {"status": "draft", "method": "m"}}
+    (tmp_path / "b.jsonl").write_text(json.dumps(sample) + "\n")
+    assert go("export", str(tmp_path / "b.jsonl"), str(base), str(tmp_path / "a.csv")) == {"rows": 1} and "facts" in (tmp_path / "a.csv").read_text()

@@ -38,7 +38,8 @@ def file_errors(spark: SparkSession, folder: str) -> list[str]:
     """What the folder's files differ in from its manifest; names that leave the folder are errors too. One row a file goes to the driver."""
     stated = json.loads("\n".join(r["value"] for r in spark.read.text(f"{folder}/manifest.json").collect()))["files"]
     have = {r["path"]: r for r in manifest(spark, f"{folder}/*.jsonl").collect()}
-    out = [f"{f['path']}: not a plain file name" for f in stated if PurePosixPath(f["path"]).name != f["path"]]
+    plain = lambda p: p.split("/")[-1] not in ("", ".", "..") and (PurePosixPath(p).name == p or len(PurePosixPath(p).parts) == 2 and PurePosixPath(p).parts[0] in {f"{t}.jsonl" for t in TABLES})
+    out = [f"{f['path']}: not a plain file name" for f in stated if not plain(f["path"])]
     for f in stated:
         got = have.get(f["path"])
         if got is None:
@@ -57,7 +58,17 @@ def validate(spark: SparkSession, folder: str) -> dict:
     return {"valid": not wrong, "counts": {name: df.count() for name, df in tables.items()}, "errors": wrong}
 
 
-def publish(spark: SparkSession, base: str, new: Mapping[str, DataFrame], out: str) -> dict:
+def _size(df: DataFrame) -> int | None:
+    """What the optimizer takes a table's bytes to be; None if it does not know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if 0 <= size < 1 << 56 else None
+
+
+#: Bytes of a table that go to one file; a larger table is a folder of parts, in order.
+FILE_BYTES = 256 << 20
+
+
+def publish(spark: SparkSession, base: str, new: Mapping[str, DataFrame], out: str, *, file_bytes: int = FILE_BYTES) -> dict:
     """Writes base with the rows of new to another folder and returns its validation; ids that base has are refused, and base stays as it is (Q13)."""
     if out.rstrip("/") == base.rstrip("/"):
         raise ValueError("the output folder must not be the base folder")
@@ -73,16 +84,26 @@ def publish(spark: SparkSession, base: str, new: Mapping[str, DataFrame], out: s
         raise ValueError("the output folder is not empty")
     for name, df in old.items():
         whole = df.unionByName(new[name], allowMissingColumns=True) if name in new else df
-        # one file for each table is the corpus's format; a sorted single partition keeps it reproducible
-        whole.orderBy(*order[name]).select(sorted_json(whole).alias("value")).coalesce(1).write.text(f"{out}/.{name}")
-        part = [f.getPath() for f in store.listStatus(hadoop.Path(f"{out}/.{name}")) if f.getPath().getName().startswith("part-")]
+        if (size := _size(whole)) is None:  # written once to know
+            whole.write.parquet(f"{out}/.rows-{name}")
+            whole = spark.read.schema(whole.schema).parquet(f"{out}/.rows-{name}")
+            size = store.getContentSummary(hadoop.Path(f"{out}/.rows-{name}")).getLength()
+        parts = max(1, -(-size // file_bytes))
+        ordered = whole.repartitionByRange(parts, *order[name]).sortWithinPartitions(*order[name]) if parts > 1 else whole.coalesce(1).sortWithinPartitions(*order[name])
+        ordered.select(sorted_json(whole).alias("value")).write.text(f"{out}/.{name}")
+        made = sorted(f.getPath().getName() for f in store.listStatus(hadoop.Path(f"{out}/.{name}")) if f.getPath().getName().startswith("part-"))
         target = hadoop.Path(f"{out}/{name}.jsonl")
-        if part:
-            store.rename(part[0], target)
+        if len(made) > 1:
+            store.mkdirs(target)
+            for i, part in enumerate(made):
+                store.rename(hadoop.Path(f"{out}/.{name}/{part}"), hadoop.Path(f"{out}/{name}.jsonl/{i:05d}.jsonl"))
+        elif made:
+            store.rename(hadoop.Path(f"{out}/.{name}/{made[0]}"), target)
         else:
             store.create(target).close()
-        store.delete(hadoop.Path(f"{out}/.{name}"), True)
-    files = [r.asDict() for r in manifest(spark, f"{out}/*.jsonl").orderBy("path").collect()]
+        for left in (f".{name}", f".rows-{name}"):
+            store.delete(hadoop.Path(f"{out}/{left}"), True)
+    files = [r.asDict() for r in manifest(spark, f"{out}/*.jsonl").orderBy("path").collect()]  # a row for each file
     with_store = store.create(hadoop.Path(f"{out}/manifest.json"))
     with_store.write(bytearray(json.dumps({"schema_version": "2.0.0", "files": files}, sort_keys=True).encode()))
     with_store.close()

@@ -81,6 +81,8 @@ def append_missing(new: DataFrame, spark: SparkSession, path: str, key: str) ->
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """File name, bytes and SHA-256 of the files of a folder (K6)."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """File name, bytes and SHA-256 of the files of a folder (K6); a file of a table in several parts is named with its table."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    parts = F.split("path", "/")
+    name, above = F.element_at(parts, -1), F.element_at(parts, -2)
+    return files.select(F.when(above.endswith(".jsonl"), F.concat_ws("/", above, name)).otherwise(name).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

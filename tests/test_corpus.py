@@ -45,6 +45,19 @@ def test_publish_validate_and_tamper(spark, base, tmp_path):
     assert not broken["valid"] and broken["errors"] == ["laws: doc_id repeated or missing: d2", "laws.jsonl: bytes differ", "laws.jsonl: sha256 differs"]
 
 
+def test_large_tables_are_published_in_parts(spark, base, tmp_path):
+    units = spark.createDataFrame([(f"u{i:04d}", "d1", f"Section {i}", "t", True) for i in range(2, 400)], "unit_id string, source_doc_id string, local_citation string, text string, is_current boolean")
+    out = tmp_path / "parts"
+    report = corpus.publish(spark, str(base), {"laws": spark.createDataFrame([], "doc_id string"), "legal_units": units}, str(out), file_bytes=4000)
+    assert report["valid"] and report["counts"]["legal_units"] == 399, report
+    files = sorted(f.name for f in (out / "legal_units.jsonl").iterdir() if f.name.endswith(".jsonl") and not f.name.startswith("."))
+    ids = [json.loads(line)["unit_id"] for f in files for line in (out / "legal_units.jsonl" / f).read_text().splitlines()]
+    assert len(files) > 1 and ids == sorted(ids)
+    (out / "legal_units.jsonl" / files[1]).unlink()
+    (out / "legal_units.jsonl" / f".{files[1]}.crc").unlink(missing_ok=True)
+    assert f"legal_units.jsonl/{files[1]}: missing" in run(spark, parser().parse_args(["validate", str(out)]))["errors"]
+
+
 def test_command_line(spark, base, tmp_path):
     go = lambda *args: run(spark, parser().parse_args(list(args)))
     assert go("build", str(base), str(tmp_path / "index"))["vectors"] == 2

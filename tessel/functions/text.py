@@ -96,6 +96,11 @@ def iso_date(text: Column) -> Column:
     return F.coalesce(*(F.date_format(F.try_to_date(plain, p), "yyyy-MM-dd") for p in ("d.M.yyyy", "d-M-yyyy", "yyyy-M-d", "d/M/yyyy")))
 
 
+def utc_now() -> Column:
+    """The time of the query as ISO text in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def stable_id(*parts: Column) -> Column:
     """16 hex digits of the SHA-1 of the parts joined by a double colon (P20)."""
     return F.substring(F.sha1(F.concat_ws("::", *parts)), 1, 16)

@@ -108,6 +108,11 @@ class Index:
         self.meta = json.loads(spark.read.text(f"{path}/current").first()["value"])
         if self.meta["schema_version"] != VERSION or self.meta["model"] != model:
             raise ValueError("the index was built by another version or model")
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for name in ("laws", "units", "cases", "case_law", "cross_law", "vectors", "passages"):
+            at = hadoop.Path(f"{path}/{self.meta['version']}/{name}")
+            if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+                raise FileNotFoundError(f"the index lacks {name}")
         if (dim := len(embed([""])[0])) != self.meta["dim"]:
             raise ValueError(f"the index holds vectors of {self.meta['dim']} numbers, the model gives {dim}")
         self.table = lambda name: spark.read.parquet(f"{path}/{self.meta['version']}/{name}")

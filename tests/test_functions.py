@@ -93,3 +93,16 @@ def test_packing_prefers_matched_passages(spark):
     assert out["content_mode"] == "selected_passages" and out["passage_ids"][:2] == ["p3", "p2"]
     df = spark.createDataFrame([("r", 0, "case:1", "case", item["text"], False, False, ["p3"], [tuple(p.values()) for p in passages])], "request_id string, position int, evidence_id string, source_type string, text string, exact boolean, expanded boolean, matched array<string>, passages array<struct<passage_id:string,segment:string,seq:int,text:string>>")
     assert P.pack(df, P.Budget(case=90)).first()["passage_ids"] == out["passage_ids"]
+
+
+def test_keys_fold_compatibility_forms(spark):
+    df = spark.createDataFrame([("Ａrticle ４(11) STRASSE",), ("article 4(11) straße",), (None,)], "x string")
+    keys = [r["k"] for r in df.select(T.match_key(T.folded(F.col("x"))).alias("k")).collect()]
+    assert keys == ["article411strasse", "article411strasse", None]
+
+
+def test_now_is_utc(spark):
+    from datetime import datetime, timezone
+
+    now = spark.range(1).select(T.utc_now().alias("t")).first()["t"]
+    assert abs((datetime.now(timezone.utc) - datetime.strptime(now, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc)).total_seconds()) < 120

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.conf.set("spark.checkpoint.dir", found := tempfile.mkdtemp(prefix="tessel-"))
     return found
@@ -46,7 +47,7 @@ class Scratch:
 
     A written table cuts the lineage, survives lost executors (Spark's committer) and
     is small beside the input. `drop` removes the ones that no later step reads; those
-    that the returned DataFrame still reads stay in the shared folder.
+    that the returned DataFrame still reads stay in the shared folder until `close`.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -61,10 +62,14 @@ class Scratch:
         self.made.append(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def close(self) -> None:
+        """Removes all tables of the call; nothing may read them any more."""
+        self.drop("")
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            at = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 

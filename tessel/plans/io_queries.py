@@ -5,6 +5,7 @@ Files go to the folder that the session names in spark.checkpoint.dir, which all
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,7 +24,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors reach."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tessel-")
     return f"{base.rstrip('/')}/tessel-{name}-{uuid.uuid4().hex}"

@@ -84,13 +84,17 @@ def keep(source: Mapping[str, str], content: bytes) -> None:
     sidecar_path(path).write_text(json.dumps(about, ensure_ascii=False, indent=2, sort_keys=True) + "\n", encoding="utf-8")
 
 
+#: The wording of the list of what has to be fetched by hand.
+BY_HAND, NOTHING_BY_HAND, HOW = "# Manual Law Source Fetch List", "No manual fetch is required.", "Download the official text and save it to the target path."
+
+
 def manual_report(sources: Sequence[Mapping[str, str]]) -> str:
     """A list of what has to be fetched by hand, in Markdown (K5)."""
-    out = ["# Manual Law Source Fetch List", ""]
+    out = [BY_HAND, ""]
     if not sources:
-        out.append("No manual fetch is required.")
+        out.append(NOTHING_BY_HAND)
     for s in sources:
-        how = s.get("manual_instructions") or "Download the official text and save it to the target path."
+        how = s.get("manual_instructions") or HOW
         out += [f"## {s['doc_id']}", "", f"- Title: {s['title']}", f"- URL: {s['url']}", f"- Save to: `{s['target_path']}`", f"- Metadata sidecar: `{sidecar_path(s['target_path'])}`", f"- Instructions: {how}", ""]
     return "\n".join(out) + "\n"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,14 +27,30 @@ def conflicts(rows: DataFrame, keys: Sequence[str], content: Sequence[str]) -> D
     return found.where("n_versions > 1")
 
 
-def require_no_conflicts(rows: DataFrame, keys: Sequence[str], content: Sequence[str]) -> DataFrame:
-    """rows without identical repeats; reading it fails if repeats of a key differ."""
-    checked = rows.groupBy(*keys).agg(F.count_distinct(F.struct(*content)).alias("_n"), F.first(F.struct(*content)).alias("_v"))
-    named = F.concat_ws(", ", *(F.col(k).cast("string") for k in keys))
+def require_no_conflicts(rows: DataFrame, keys: Sequence[str], content: Sequence[str], *, described: Column | None = None) -> DataFrame:
+    """rows without identical repeats; reading it fails if repeats of a key differ, and says how they are described."""
+    shown = F.array_join(F.sort_array(F.collect_set(described)), " / ") if described is not None else F.lit("")
+    checked = rows.groupBy(*keys).agg(F.count_distinct(F.struct(*content)).alias("_n"), F.first(F.struct(*content)).alias("_v"), shown.alias("_d"))
+    named = F.concat(F.concat_ws(", ", *(F.col(k).cast("string") for k in keys)), F.when(F.col("_d") != "", F.concat(F.lit(": "), "_d")).otherwise(F.lit("")))
     good = F.when(F.col("_n") <= 1, F.col("_v")).otherwise(F.raise_error(F.concat(F.lit("conflicting rows for "), named)))
     return checked.select(*keys, good.alias("_v")).select(*keys, *(F.col(f"_v.{c}").alias(c) for c in content))
 
 
+def unique_units(units: DataFrame) -> DataFrame:
+    """Units without identical repeats; of a conflict the lengths and digests of the texts are told (V2)."""
+    text = F.coalesce("text", F.lit(""))
+    return require_no_conflicts(units, ["unit_id"], [c for c in units.columns if c != "unit_id"], described=F.concat(F.length(text).cast("string"), F.lit(" characters "), F.substring(F.sha2(text, 256), 1, 12))).select(*units.columns)
+
+
+def unique_cases(cases: DataFrame, ignored: Sequence[str] = ("retrieved_at", "jurisdiction")) -> DataFrame:
+    """Cases without repeats that differ at most in when they were fetched and in a jurisdiction that follows from the rest: the one fetched last stays; any other difference is an error (V3)."""
+    content = [c for c in cases.columns if c != "case_id" and c not in ignored]
+    same = require_no_conflicts(cases, ["case_id"], content)
+    order = F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ignored))
+    last = cases.groupBy("case_id").agg(F.max_by(F.struct(*ignored), order).alias("_l"))
+    return same.join(last, "case_id").select("case_id", *content, *(F.col(f"_l.{c}").alias(c) for c in ignored)).select(*cases.columns)
+
+
 def set_difference(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """Keys of only one side, with the side: missing or unexpected."""
     a, b = expected.select(key).distinct(), actual.select(key).distinct()

@@ -38,6 +38,19 @@ def duplicate_keys(spark, sf_dir):
     return integrity.repeated_keys(read(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"])
 
 
+def unique_units(spark, sf_dir):
+    """Units given twice, once each (V1, V2)."""
+    units = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit_id"), F.col("p_name").alias("text"), "p_size")
+    return integrity.unique_units(units.unionByName(units.where("unit_id % 3 = 0")))
+
+
+def unique_cases(spark, sf_dir):
+    """Cases fetched more than once, as they were fetched last (V3)."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("title"), F.lit("2026-01-01").alias("retrieved_at"), F.lit("EU").alias("jurisdiction"))
+    again = orders.where("case_id % 3 = 0").withColumns({"retrieved_at": F.lit("2026-02-01"), "jurisdiction": F.col("title")})
+    return integrity.unique_cases(orders.unionByName(again))
+
+
 def set_ops_diff(spark, sf_dir):
     line = read(spark, sf_dir, "lineitem")
     return integrity.set_difference(line.where("l_quantity < 3").select("l_partkey"), line.where("l_quantity > 48").select("l_partkey"), "l_partkey")
@@ -90,7 +103,7 @@ def event_windows(spark, sf_dir):
     return windowed_counts(read(spark, sf_dir, "events"), "ts", "event_type").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
-QUERIES = {f.__name__: f for f in (leaf_nodes, ancestor_closure, drop_parent_dups, fk_violations, duplicate_keys, set_ops_diff, change_report, superseded_filter, catalog_summary, build_stats, unit_type_counts, citation_expand, event_windows)}
+QUERIES = {f.__name__: f for f in (leaf_nodes, ancestor_closure, drop_parent_dups, fk_violations, duplicate_keys, unique_units, unique_cases, set_ops_diff, change_report, superseded_filter, catalog_summary, build_stats, unit_type_counts, citation_expand, event_windows)}
 
 _TREE = "tree AS (SELECT o_orderkey AS unit_id, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey - 1 END AS parent_id, o_custkey % 3 AS target FROM orders)"
 _UP = f"""WITH RECURSIVE {_TREE}, up AS (
@@ -105,6 +118,8 @@ ORACLE_SQL = {
         SELECT 'line_part' AS "check", l_partkey::VARCHAR AS value, count(*) AS n_rows FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5) GROUP BY l_partkey
         UNION ALL SELECT 'order_customer', o_custkey::VARCHAR, count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_custkey""",
     "duplicate_keys": "SELECT l_partkey, l_suppkey, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
+    "unique_units": "SELECT p_partkey AS unit_id, p_name AS text, p_size FROM part",
+    "unique_cases": "SELECT o_orderkey AS case_id, o_orderpriority AS title, CASE WHEN o_orderkey % 3 = 0 THEN '2026-02-01' ELSE '2026-01-01' END AS retrieved_at, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE 'EU' END AS jurisdiction FROM orders",
     "set_ops_diff": """
         (SELECT l_partkey, 'missing' AS side FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity < 3 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48))
         UNION ALL (SELECT l_partkey, 'unexpected' FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 48 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity < 3))""",

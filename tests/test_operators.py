@@ -52,6 +52,16 @@ def test_conflicting_repeats_are_an_error(spark):
         integrity.require_no_conflicts(rows.unionByName(spark.createDataFrame([("b", 3)], "id string, v int")), ["id"], ["v"]).collect()
 
 
+def test_units_and_cases_are_unique_or_an_error(spark):
+    units = spark.createDataFrame([("u", "one", 1), ("u", "other", 1)], "unit_id string, text string, n int")
+    with pytest.raises(Exception, match="conflicting rows for u: 3 characters [0-9a-f]{12} / 5 characters"):
+        integrity.unique_units(units).collect()
+    cases = spark.createDataFrame([("c", "t", "2", None), ("c", "t", "1", "ES")], "case_id string, title string, retrieved_at string, jurisdiction string")
+    assert [tuple(r) for r in integrity.unique_cases(cases).collect()] == [("c", "t", "2", None)]
+    with pytest.raises(Exception, match="conflicting rows for c"):
+        integrity.unique_cases(cases.withColumn("title", F.col("retrieved_at"))).collect()
+
+
 ALIASES = {"gdpr": ["GDPR", "Regulation (EU) 2016/679"], "ai": ["AI Act"]}
 
 

@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -120,38 +121,36 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.begin, self.count, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32), 0
+        self.words = pa.array([], pa.string())
+        self.begin, self.count, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.int32), 0
 
-    def _learn(self, fresh: list[str]) -> None:
-        flat, count = self.encode_words(fresh)
-        n, m = len(self.place), len(self.place) + len(fresh)
+    def _learn(self, fresh: pa.Array) -> None:
+        flat, count = self.encode_words(fresh.to_pylist())
+        n, m = len(self.words), len(self.words) + len(fresh)
         if m > len(self.begin):
-            self.begin, self.count = (np.concatenate([x, np.zeros(max(m, len(x)), np.int64)]) for x in (self.begin, self.count))
+            self.begin, self.count = (np.concatenate([x, np.zeros(max(m, len(x)), x.dtype)]) for x in (self.begin, self.count))
         if self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(flat), len(self.flat)), np.int32)])
         self.flat[self.used : self.used + len(flat)] = flat
         self.count[n:m], self.begin[n:m] = count, self.used + np.cumsum(count) - count
         self.used += len(flat)
-        self.place.update(zip(fresh, range(n, m), strict=True))
+        self.words = pa.concat_arrays([self.words, fresh])
 
     def of(self, words: pa.Array, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of rows of words, and the number of each row's ids; offs: where each row's words begin (one more than rows)."""
         if not len(words):
             return np.zeros(0, np.int32), np.zeros(len(offs) - 1, np.int64)
         coded = words.dictionary_encode()
-        own = coded.dictionary.to_pylist()
-        if len(self.place) + len(own) > self.most:
+        own = coded.dictionary.cast(pa.string())
+        if len(self.words) + len(own) > self.most:
             self._clear()
-        get = self.place.get
-        slot = np.array([get(w, -1) for w in own], np.int64)
+        slot = pc.index_in(own, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(slot < 0)
         if len(new):
-            at = len(self.place)
-            self._learn([own[i] for i in new.tolist()])
-            slot[new] = np.arange(at, at + len(new))
+            slot[new] = len(self.words) + np.arange(len(new))
+            self._learn(own.take(pa.array(new)))
         slot = slot[coded.indices.to_numpy(zero_copy_only=False)]
-        count = self.count[slot]
+        count = self.count[slot].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(count)])
         return self.flat[np.repeat(self.begin[slot] - ends[:-1], count) + np.arange(ends[-1])], np.diff(ends[offs])
 

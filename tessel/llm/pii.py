@@ -5,16 +5,18 @@ always stay. Generators propose further, overlapping spans: spaced or masked add
 quads with spaces, card-like and phone-like digit groups, and what the rules' patterns
 match but their checks drop. Boosted trees of depth two score a candidate by format (digits,
 separators, edges) and context (words before it). They learn from rule spans and masked forms
-made of them against other proposed and number-like spans of a sample of at most about
-`sample_docs` documents, without the very features that the rules decide by, so a span that looks
-and stands like rule spans or their masked forms scores high. What is plainly such a form is never taken
-as a counter-example; where there are too few of these, only plain forms are proposed. A kind's threshold is the lowest score at which at least `precision` of the sample's
-spans above it are rule spans; with none, or with too few rule spans, the kind adds nothing. Added
-spans never overlap a rule span or an earlier added one of their kind.
-
-The sample is summed to counts of feature cells, of which there are at most some thousands
-whatever the input, and the trees are fitted to these counts on the driver. Scoring is a sum of
-CASE expressions.
+made of them against other proposed and number-like spans of all documents, without the very
+features that the rules decide by, so a span that looks and stands like rule spans or their masked
+forms scores high. What is plainly such a form is never taken as a counter-example; where there are
+too few of these, in number or as a share that tells nothing at the precision asked for, only plain
+forms are proposed. A kind's threshold is the lowest score at which at
+least `precision` of all spans with it or a higher one are rule spans; with none, or with too few
+rule spans, the kind adds nothing. Added spans never overlap a rule span or an earlier added one of
+their kind.
+
+Every document is read twice: once to count the spans of each feature cell, and once to score. The
+number of cells is bounded by the features' values, whatever the input, and the trees are fitted to
+these counts on the driver. Scoring is a sum of CASE expressions.
 
 Patterns have no repeated groups and start only where a run of their characters starts, so a
 text of a million equal characters takes linear time and no deep stack. Positions are code points.
@@ -31,7 +33,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 20_000
 #: Characters for our own marks; such characters of a text are replaced by another of the same length.
 EDGE, JOIN, STAND_IN = "\ue000", "\ue001", "\ue002"
 RULES = {
@@ -259,7 +260,7 @@ def threshold(cells: list, model: tuple[float, list], precision: float) -> float
     return best
 
 
-def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, precision: float = 0.95, least: int = 30) -> dict[str, tuple]:
+def fit(docs: DataFrame, *, precision: float = 0.95, least: int = 30) -> dict[str, tuple]:
     """Model and threshold of each kind, from a table with rule spans."""
     cells: dict[str, dict[tuple, list[float]]] = {k: {} for k in KINDS}
     plain = F.col("plain")
@@ -281,10 +282,12 @@ def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, precision: float = 0
     out = {}
     for kind, own in cells.items():
         table = [(f, *n) for f, n in sorted(own.items())]
-        if sum(c[1] for c in table) >= least / 2:
+        pos, neg = sum(c[1] for c in table), sum(c[2] for c in table)
+        if pos >= least / 2:
             model = boosted(table)
             if (cut := threshold(table, model, precision)) is not None:
-                out[kind] = (model, cut, sum(c[2] for c in table) < least)
+                # if all spans together reach the precision, however many they are, the threshold lets everything pass
+                out[kind] = (model, cut, neg < least or pos >= precision * (pos + neg))
     return out
 
 
@@ -312,16 +315,15 @@ def _named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def personal_data(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample_docs: int = SAMPLE_DOCS, precision: float = 0.95) -> DataFrame:
+def personal_data(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, precision: float = 0.95) -> DataFrame:
     """One row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, found.
 
     `found` holds the spans of both sorts as structs (kind, start, end, found).
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    share = max(1, math.ceil(docs.count() / sample_docs))
-    models = fit(with_rule_spans(source.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), "body"), precision=precision)
-    every = F.concat(*(F.col(f"base_{k}") for k in KINDS))
     rows = with_rule_spans(source, "body")
+    models = fit(rows, precision=precision)
+    every = F.concat(*(F.col(f"base_{k}") for k in KINDS))
     for kind in KINDS:
         added = F.when(_needs(kind) if kind == "email" else F.col("numeric"), _added(kind, *models[kind], every)).otherwise(_none()) if kind in models else _none()
         rows = rows.withColumn(f"added_{kind}", added)

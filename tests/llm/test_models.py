@@ -277,6 +277,24 @@ def test_masked_emails_and_national_phones_are_added(spark, documents):
     assert not any(found[doc]["n_added"] for doc, _ in none)
 
 
+def test_every_document_is_learned_from(spark, documents):
+    # just as many rule spans as a kind needs, spread over a large table: each one left out leaves the kind without a model
+    rows = [(i, f"the host 10.0.{i // 2000}.7 is up" if i % 2000 == 0 else "no numbers") for i in range(30_000)]
+    found = pii.personal_data(spark, documents([*rows, (30_000, "the host 10.0.1[.]7 is up")])).where("n_added > 0 or n_ip > 0").collect()
+    assert sorted(r["doc_id"] for r in found if r["n_ip"]) == list(range(0, 30_000, 2000))
+    assert [(r["doc_id"], r["spans"]) for r in found if r["n_added"]] == [(30_000, "ip:9:19")]
+
+
+def test_rare_counter_examples_let_no_more_pass_in_larger_tables(spark, documents):
+    # counter-examples are over thirty, but so few beside the rule spans that taking all of them keeps the precision
+    rows = [(i, f"we pay by card {4000 + i} 1111 1111 {next(x for x in range(1000, 1010) if _luhn(f'{4000 + i}11111111{x}'))} now") for i in range(900)]
+    other = [(1000 + i, f"sum of 96293805678{x} ok") for i, x in enumerate(x for x in range(10, 40) if not _luhn(f"96293805678{x}"))][:20]
+    masked = [(2000, "call (963) 555-1408 4111111111111111 so"), (2001, "we pay by card 4111.1111.1111.1111 now")]
+    found = {r["doc_id"]: r for r in pii.personal_data(spark, documents(rows + other + masked)).collect()}
+    assert all(r["n_card"] == (doc < 1000) for doc, r in found.items())
+    assert {doc: r["spans"] for doc, r in found.items() if r["n_added"]} == {2000: "card:20:36", 2001: "card:15:34"}
+
+
 def test_boosting_separates_and_calibrates():
     cells = [((d, s, 1, 0, 1, 1, 2), 50.0 if d > 8 else 1.0, 1.0 if d > 8 else 40.0) for d in range(4, 14) for s in range(3)]
     model = pii.boosted(cells)

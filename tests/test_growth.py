@@ -64,3 +64,38 @@ def test_law_relations_of_a_brand_of_ten_thousand_parts(spark, tmp_path):
     spark.range(10_050).selectExpr("id AS p_partkey", "'bolt' AS p_name", "'Brand#1' AS p_brand", "'LARGE' AS p_type", "1 AS p_size").coalesce(1).write.parquet(str(tmp_path / "made"))
     next((tmp_path / "made").glob("part-*.parquet")).rename(tmp_path / "part.parquet")
     _equals_sql(spark, "law_relations", tmp_path)
+
+
+def test_digests_of_large_files_are_streams(spark, tmp_path):
+    import hashlib
+
+    from tessel.sources.jsonl import manifest
+
+    for name, size in (("small", 10), ("large", 5000)):
+        (tmp_path / f"{name}.jsonl").write_bytes(b"x" * size)
+    cells = manifest(spark, f"{tmp_path}/*.jsonl", whole_bytes=100)
+    assert {r["path"]: (r["bytes"], r["sha256"]) for r in cells.collect()} == {f"{n}.jsonl": (size, hashlib.sha256(b"x" * size).hexdigest()) for n, size in (("small", 10), ("large", 5000))}
+
+
+def test_no_task_holds_more_of_a_table_than_it_can_take_the_digest_of():
+    from tessel.plans import corpus
+    from tessel.sources import jsonl
+
+    assert corpus.FILE_BYTES <= jsonl.WHOLE_BYTES <= 32 << 20
+
+
+def test_publish_refuses_units_that_the_base_has(spark, tmp_path):
+    from tessel.plans import corpus
+
+    (tmp_path / "base").mkdir()
+    for name in corpus.TABLES:
+        (tmp_path / "base" / f"{name}.jsonl").write_text('{"unit_id": "u1"}\n' if name == "legal_units" else "")
+    new = {"laws": spark.createDataFrame([("d2",)], "doc_id string"), "legal_units": spark.createDataFrame([("u1",)], "unit_id string")}
+    with pytest.raises(ValueError, match="already in the base: u1"):
+        corpus.publish(spark, str(tmp_path / "base"), new, str(tmp_path / "out"))
+
+
+def test_corpus_publish_shows_all_tables(spark):
+    from tessel.plans.catalogue import QUERIES
+
+    assert {r["table"] for r in QUERIES["corpus_publish"](spark, "/root/testdata/sf0.001").select("table").distinct().collect()} == {"laws", "legal_units", "gdprhub_cases", "case_law_relations", "law_relations", "counts"}

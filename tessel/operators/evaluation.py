@@ -8,29 +8,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def metrics(judgements: DataFrame, rankings: DataFrame, cutoffs: Sequence[int], sample: str = "sample_id", item: str = "item_id", *, answered: DataFrame | None = None) -> DataFrame:
+def metrics(judgements: DataFrame, rankings: DataFrame, cutoffs: Sequence[int], sample: str = "sample_id", item: str = "item_id", *, answered: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """A row for each sample and cutoff: precision, recall, required_recall, mrr, ndcg.
 
     judgements(sample, item, grade int, required boolean); rankings(sample, item, rank), of which
     an item's best rank counts. Samples without a ranking have no row, and those without judgements neither;
     but samples of answered(sample) have one, as an empty ranking found nothing.
     precision divides by the number returned; required_recall is 1 where nothing is required.
+    partitions: of how many tasks each step is, so that a task's share need not grow with the tables; else the session's setting.
     """
     if not cutoffs or min(cutoffs) < 1:
         raise ValueError("cutoffs must be positive")
-    best = rankings.groupBy(sample, item).agg(F.min("rank").alias("rank"))
+    dealt = lambda rows, *keys: rows if partitions is None else rows.repartition(partitions, *keys)
+    best = dealt(rankings, sample).groupBy(sample, item).agg(F.min("rank").alias("rank"))
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy(sample).orderBy("rank", item))).where(F.col("rank") <= max(cutoffs))
     cuts = F.explode(F.array(*(F.lit(k) for k in sorted(set(cutoffs)))))
     # what is relevant, and the ideal order of its grades
-    ideal = judgements.withColumn("_i", F.row_number().over(Window.partitionBy(sample).orderBy(F.col("grade").desc(), item)))
+    ideal = dealt(judgements, sample).withColumn("_i", F.row_number().over(Window.partitionBy(sample).orderBy(F.col("grade").desc(), item)))
     gain = lambda grade, place: (F.pow(F.lit(2.0), grade) - 1) / F.log2(place + 1.0)
     truth = ideal.select(sample, "grade", "required", "_i", cuts.alias("k")).groupBy(sample, "k").agg(
         F.count("*").alias("n_relevant"), F.count_if("required").alias("n_required"), F.sum(F.when(F.col("_i") <= F.col("k"), gain(F.col("grade"), F.col("_i"))).otherwise(0.0)).alias("ideal")
     )
-    judged = best.join(judgements.select(sample, item, "grade", "required"), [sample, item], "left").select(sample, "rank", "grade", "required", cuts.alias("k")).where("rank <= k")
+    judged = dealt(dealt(best, sample, item).join(dealt(judgements.select(sample, item, "grade", "required"), sample, item), [sample, item], "left"), sample).select(sample, "rank", "grade", "required", cuts.alias("k")).where("rank <= k")
     got = judged.groupBy(sample, "k").agg(
         F.count("*").alias("n_returned"), F.count("grade").alias("hits"), F.count_if("required").alias("required_hits"), F.min(F.when(F.col("grade").isNotNull(), F.col("rank"))).alias("first"), F.sum(F.when(F.col("grade").isNotNull(), gain(F.col("grade"), F.col("rank"))).otherwise(0.0)).alias("dcg")
     )
+    truth, got = dealt(truth, sample, "k"), dealt(got, sample, "k")
     r = lambda c: F.round(c, 6)
     if answered is None:
         scored = truth.join(got, [sample, "k"])

@@ -90,8 +90,8 @@ def citation_expand(spark, sf_dir):
     """References "Article a to b(n)" made from columns, expanded and resolved to units, else to the parent that they name."""
     line = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), F.least(F.col("l_partkey") % 7, F.lit(4)).cast("int").alias("more"))
     each = line.select("l_orderkey", "n", F.explode(F.sequence("n", F.col("n") + F.col("more"))).alias("number"))
-    asked = each.select("l_orderkey", "n", F.concat(F.lit("Article "), F.col("number"), F.lit("("), F.col("number") % 3, F.lit(")")).alias("requested")).distinct()
-    units = read(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("Article "), F.col("l_linenumber"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("("), F.col("l_linenumber") % 3, F.lit(")"))).otherwise(F.lit(""))).alias("citation")).distinct()
+    asked = each.select("l_orderkey", "n", F.concat(F.lit("Article "), F.col("number"), F.lit("("), F.col("number") % 3, F.lit(")")).alias("requested"))
+    units = read(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("Article "), F.col("l_linenumber"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("("), F.col("l_linenumber") % 3, F.lit(")"))).otherwise(F.lit(""))).alias("citation"))
     from ..operators.relations import resolve_citations
 
     return resolve_citations(asked, units, ["l_orderkey"], "requested", "citation").select("l_orderkey", "n", "requested", "citation", "basis")
